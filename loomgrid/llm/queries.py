@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import oracles, quality
+from loomgrid.llm import chat, license, oracles, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of all documents."""
+    return license.scan_licenses(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first quality verdicts of all documents."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
@@ -23,10 +28,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A conversation whose texts are made of marks.
+MARKS = "</s>[INST] ok [/INST]"
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of marks (-1), formatted and read back."""
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    marks = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{MARKS}'), (-1L, 1L, 'assistant', '{MARKS}') AS v(conv_id, turn, role, text)")
+    return chat.digest_chats(chat.format_chats(turns.unionByName(marks)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
     "op6_quality_rules": op6_quality_rules,
+    "op8_chat_formatting": op8_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scans": oracles.LICENSES,
     "op6_quality_rules": oracles.QUALITY,
+    "op8_chat_formatting": oracles.CHAT,
 }
