@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import chat, license, oracles, quality
+from loomgrid.llm import chat, license, neardup, oracles, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=80)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first quality verdicts of all documents."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
@@ -41,6 +46,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
+    "op3_minhash_neardup": op3_minhash_neardup,
     "op6_quality_rules": op6_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
 }
