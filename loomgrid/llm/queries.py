@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import chat, license, neardup, oracles, quality
+from loomgrid.llm import bpe, chat, license, neardup, oracles, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,6 +20,12 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts encoded and decoded by the multilingual byte-level ranks."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe.digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=80)
@@ -44,11 +51,19 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(turns.unionByName(marks)))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op6_quality_rules": op6_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
