@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import bpe, chat, license, neardup, oracles, packing, quality
+from loomgrid.llm import bpe, chat, embedding, license, neardup, oracles, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=80)
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return embedding.near_duplicates(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first quality verdicts of all documents."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op5_embedding_neardup": op5_embedding_neardup,
     "op6_quality_rules": op6_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
