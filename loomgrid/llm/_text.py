@@ -57,6 +57,14 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
+    sums: np.ndarray
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are longer than ``size`` bytes, and the hash of that prefix of each (unlike that of any word)."""
+        at = np.flatnonzero(self.ends - self.starts > size)
+        a = self.starts[at]
+        raw = (self.sums[a + size] - self.sums[a]) * _power(_INVERSE, "down", len(self.data))[a]
+        return at, mix(raw + np.uint64(0xA24BAED4963EE407) * np.uint64(size))
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -87,14 +95,14 @@ def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterat
         at += n
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Lower-cases A-Z and cuts at ASCII white space; the hash is of the bytes of a word and their number."""
+def split_words(data: np.ndarray, offsets: np.ndarray, inside_word: np.ndarray = NOT_SPACE) -> Words:
+    """Lower-cases A-Z and cuts at bytes that ``inside_word`` excludes (ASCII white space); the hash is of the bytes of a word and their number."""
     data = LOWER[data]
     n = len(data)
-    inside = NOT_SPACE[data]
+    inside = inside_word[data]
     if n == 0:
         zero = np.zeros(0, np.int64)
-        return Words(data, zero, zero, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+        return Words(data, zero, zero, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(1, np.uint64))
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
@@ -111,7 +119,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, "up", n), out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _power(_INVERSE, "down", n)[starts]
     hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
+    return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets), sums)
 
 
 def hash_word(word: bytes) -> int:

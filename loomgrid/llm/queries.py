@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import bpe, chat, embedding, license, neardup, oracles, packing, quality
+from loomgrid.llm import bpe, chat, embedding, license, lm, neardup, oracles, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all texts, by smoothed word counts and by the maximum-entropy model."""
+    return lm.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 #: A conversation whose texts are made of marks.
 MARKS = "</s>[INST] ok [/INST]"
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_neardup": op3_minhash_neardup,
     "op5_embedding_neardup": op5_embedding_neardup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
