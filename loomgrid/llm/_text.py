@@ -64,7 +64,7 @@ class Words:
         at = np.flatnonzero(self.ends - self.starts > size)
         a = self.starts[at]
         raw = (self.sums[a + size] - self.sums[a]) * _power(_INVERSE, "down", len(self.data))[a]
-        return at, mix(raw + np.uint64(0xA24BAED4963EE407) * np.uint64(size))
+        return at, mix(raw + np.uint64(0xA24BAED4963EE407 * size & (2**64 - 1)))
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()

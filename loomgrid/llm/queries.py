@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import bpe, chat, embedding, license, lm, neardup, oracles, packing, quality
+from loomgrid.llm import bpe, chat, embedding, license, lm, neardup, oracles, packing, quality, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=80)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all texts under the unigram model of the byte-level ranks."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return embedding.near_duplicates(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
@@ -67,15 +73,24 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by the nearest labelled ones."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    index = toxicity.fit(docs, _table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, index).select("doc_id", *(F.col(f"__toxicity.{c}") for c in ("held_out", "score", "predicted", "neighbours", "cosines")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op4_token_counts": op4_token_counts,
     "op5_embedding_neardup": op5_embedding_neardup,
     "op6_quality_rules": op6_quality_rules,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
