@@ -4,13 +4,15 @@ A text's set is its distinct word shingles, as 64-bit hashes; its sketch is the
 
 1. Equal sets (by size and two 64-bit digests of the whole set) form a class; one representative goes on.
 2. Inverted lists of the ``LISTED`` smallest values of each representative generate overlaps.  First every
-   member of a list meets only the list's leader (the class with most copies): a group of n near copies costs
-   n pairs, not n squared.  Verified links merge into components.
+   member of a list meets only the list's leader (the class with most copies), then ``LEADERS`` others: a group
+   of n near copies costs a few n pairs, not n squared.  Verified links merge into components.
 3. Lists that still hold several components then give every pair of representatives of *different*
    components.  A list of more than ``CROWD`` components (a passage that many unlike texts share) is left out
    for texts with at least ``FREE`` values in less crowded lists, as two texts of Jaccard 0.8 share one of those
    with a probability of 1 - 0.2**FREE at least; texts without so many keep the crowded lists too, in full.
-4. Pairs are filtered by the Jaccard of the union sketch (at ``ESTIMATE``, far below the threshold, five
+4. Pairs must agree in size and in two digests that are compared where lists meet: the parity digest of the whole
+   set, in which two sets differ in at most as many bits as the sets do in members (so no link is lost), and a
+   bit map of the sketch.  They are then filtered by the Jaccard of the union sketch (at ``ESTIMATE``, far below the threshold, five
    standard deviations for 32 values), then verified on the full sets.
 
 Pairs inside one component need no verification: they can't change it.  Nothing is capped or sampled.
@@ -35,7 +37,13 @@ from loomgrid.llm._spark import components, cut
 
 RETAINED = 32
 LISTED = 12
+LEADERS = 4
 CROWD = 64
+#: Longs of the parity digest, and of the bit map of the sketch.
+PARITY = 16
+MAP = 2
+#: Ids of texts that are broadcast to the scan; more are joined by a shuffle.
+BROADCAST_IDS = 400_000
 FREE = 6
 ESTIMATE = 0.45
 
@@ -59,31 +67,41 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
             yield np.zeros(0, np.int64)
 
 
+def digest(s: np.ndarray) -> np.ndarray:
+    """Parity of the members that fall on each bit, and which bits the sketch falls on."""
+    bits = 64 * PARITY
+    parity = np.bincount((s >> 7) & (bits - 1), minlength=bits) & 1
+    low = np.zeros(64 * MAP, np.uint8)
+    low[s[:RETAINED] & (64 * MAP - 1)] = 1
+    return np.packbits(np.concatenate([parity.astype(np.uint8), low])).view(np.int64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n, f1, f2, sketch): size, digests and bottom values of the set of each row."""
+    """(id, n, f1, f2, sketch, digest): size, digests and bottom values of the set of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in _text.chunks(batch.column(1)):
-                n, f1, f2, low = [], [], [], []
+                n, f1, f2, low, marks = [], [], [], [], []
                 for s in shingle_sets(data, offsets, k):
                     u = s.astype(np.uint64)
                     n.append(len(s))
                     f1.append(np.sum(_text.mix(u + np.uint64(1)), dtype=np.uint64))
                     f2.append(np.sum(_text.mix(u ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
                     low.append(s[:RETAINED])
+                    marks.append(digest(s))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), _lists(low)],
-                    names=["id", "n", "f1", "f2", "sketch"],
+                    [batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), _lists(low), _lists(marks)],
+                    names=["id", "n", "f1", "f2", "sketch", "digest"],
                 )
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, sketch array<long>")
+    return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, sketch array<long>, digest array<long>")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -96,23 +114,37 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataF
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), _lists(sets)], names=["id", "shingles"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    ids = cut(wanted.select("id").distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row; links are pairs with 100 * intersection >= percent * union."""
     base = cut(sketches(docs, id_col, text_col, k))
     full = base.filter("n > 0 AND id IS NOT NULL")
-    reps = cut(full.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")))
+    reps = cut(
+        full.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("digest").alias("digest"))
+    )
     postings = reps.select("rep", "n", "copies", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
-    near = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
+    marks = [f"d{i}" for i in range(PARITY + MAP)]
+    digests = reps.select("rep", *(F.get("digest", F.lit(i)).alias(d) for i, d in enumerate(marks)))
+    # 100 i >= p u bounds the members in only one of the sets by (100 - p) / (100 + p) of the sum of sizes
+    apart = " + ".join(f"bit_count(a_{d} ^ b_{d})" for d in marks[:PARITY])
+    shared = " + ".join(f"bit_count(a_{d} & b_{d})" for d in marks[PARITY:])
+    larger = f"greatest({' + '.join(f'bit_count(a_{d})' for d in marks[PARITY:])}, {' + '.join(f'bit_count(b_{d})' for d in marks[PARITY:])})"
+    near = f"""100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) AND {100 + percent} * ({apart}) <= {100 - percent} * (a_n + b_n)
+               AND {shared} >= {0.9 * ESTIMATE} * {larger}"""
+
+    def named(df: DataFrame, side: str) -> DataFrame:
+        return df.select(*(c if c == "v" else F.col(c).alias(side if c == "rep" else f"{side}_{c}") for c in df.columns))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs that are links."""
-        by = reps.select("rep", "sketch", "n")
         both = (
-            pairs.join(by.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
-            .join(by.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+            pairs.join(reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
+            .join(reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
             .withColumn("low", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, RETAINED))
         )
         likely = cut(both.filter(f"size(array_intersect(low, array_intersect(sa, sb))) >= {ESTIMATE} * size(low)").select("a", "b"))
@@ -121,30 +153,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         exact = likely.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
         return exact.withColumn("common", F.size(F.array_intersect("sa", "sb"))).filter(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b")
 
-    leaders = postings.groupBy("v").agg(F.count("*").alias("c"), F.max(F.struct("copies", (-F.col("rep")).alias("r"), "n")).alias("lead")).filter("c > 1")
-    star = (
-        postings.join(leaders, "v")
-        .select(F.col("rep").alias("a"), F.col("n").alias("a_n"), F.expr("-lead.r").alias("b"), F.col("lead.n").alias("b_n"))
-        .filter(f"a <> b AND {near}").select("a", "b").distinct()
+    def with_components(links: DataFrame) -> DataFrame:
+        """(v, rep, n, component, in_list) of the lists that hold several components."""
+        merged = components(links)
+        placed = cut(
+            postings.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        )
+        lists = placed.groupBy("v", "component").count().groupBy("v").agg(F.count("*").alias("in_list")).filter("in_list > 1")
+        return placed.join(lists, "v")
+
+    leaders = postings.groupBy("v").agg(F.count("*").alias("c"), F.max(F.struct("copies", (-F.col("rep")).alias("r"))).alias("lead")).filter("c > 1")
+    star = postings.join(leaders, "v").select(F.col("rep").alias("a"), F.expr("-lead.r").alias("b")).filter("a <> b").distinct()
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        of = reps.select("rep", "n").join(digests, "rep")
+        return pairs.join(named(of, "a"), "a").join(named(of, "b"), "b").filter(near).select("a", "b")
+
+    links = cut(verified(checked(star)))
+    mixed = cut(with_components(links))
+    others = mixed.groupBy("v").agg(*(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "v", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)))
+    again = (
+        mixed.select("v", "rep", "component").join(others, "v").select(F.col("rep").alias("a"), "component", F.explode(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l"))
+        .filter("component <> l.component").select(F.least("a", "l.rep").alias("a"), F.greatest("a", "l.rep").alias("b")).distinct()
     )
-    links = cut(verified(star))
-    merged = components(links)
+    links = cut(links.union(verified(checked(again))))
 
-    placed = cut(
-        postings.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    )
-    lists = placed.groupBy("v", "component").count().groupBy("v").agg(F.count("*").alias("in_list")).filter("in_list > 1")
-    mixed = placed.join(lists, "v").withColumn("crowded", F.col("in_list") > CROWD)
+    mixed = with_components(links).withColumn("crowded", F.col("in_list") > CROWD)
     # Values in lists of one component or one text count as free: whatever is linked by them is merged already.
     crowds = mixed.groupBy("rep").agg(F.count_if("crowded").alias("n_crowded"))
     sizes = reps.select("rep", F.least(F.size("sketch"), F.lit(LISTED)).alias("n_listed"))
     tight = crowds.join(sizes, "rep").select("rep", (F.col("n_listed") - F.col("n_crowded") < FREE).alias("tight"))
-    side = mixed.join(tight, "rep").filter("NOT crowded OR tight").select("v", "rep", "n", "component")
-    pairs = (
-        side.withColumnsRenamed({"rep": "a", "n": "a_n", "component": "a_c"})
-        .join(side.withColumnsRenamed({"rep": "b", "n": "b_n", "component": "b_c"}), "v")
-        .filter(f"a < b AND a_c <> b_c AND {near}").select("a", "b").distinct()
-    )
+    side = cut(mixed.join(tight, "rep").filter("NOT crowded OR tight").select("v", "rep", "n", "component").join(digests, "rep"))
+    pairs = named(side, "a").join(named(side, "b"), "v").filter(f"a < b AND a_component <> b_component AND {near}").select("a", "b").distinct()
     more = verified(pairs)
     joined = components(links.union(more))
     of_class = reps.select("n", "f1", "f2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
