@@ -83,9 +83,9 @@ def cheap_median(g: Grid, axis: int, radius: int, bins: int, mode: bool = False)
     high = high + 1 if low == high else high
     n = g.axes[axis].size
     name = f"i{axis}"
-    step = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
+    step = F.sequence(F.col(name) - radius, F.col(name) + radius)
     bin_ = F.least(F.greatest(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1))
-    spread = g.df.filter(exists(F.col("v"))).select(*(c for c in g.names if c != name), bin_.alias("b"), (F.col(name) + step).alias(name))
+    spread = g.df.filter(exists(F.col("v"))).select(*(c for c in g.names if c != name), bin_.alias("b"), F.explode(step).alias(name))
     counts = spread.filter(F.col(name).between(0, n - 1)).groupBy(*g.names, "b").agg(F.count("*").alias("c"))
     w = Window.partitionBy(*g.names)
     if mode:
@@ -165,8 +165,8 @@ def fft(g: Grid, axis: int, inverse: bool = False, rescale: bool = True) -> Grid
     if axis == 0 or g.axes[0].size != 2:
         raise ValueError("axis 0 must hold real and imaginary parts, and is not transformed")
     n = g.axes[axis].size
-    others = [c for k, c in enumerate(g.names) if k not in (0, axis)]
-    name = f"i{axis}"
+    names, name = g.names, f"i{axis}"
+    others = [c for k, c in enumerate(names) if k not in (0, axis)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         line = np.zeros(n, complex)
@@ -176,7 +176,7 @@ def fft(g: Grid, axis: int, inverse: bool = False, rescale: bool = True) -> Grid
         made = pd.DataFrame({name: np.tile(np.arange(n), 2), "i0": np.repeat([0, 1], n), "v": np.concatenate([out.real, out.imag])})
         for c in others:
             made[c] = pdf[c].iloc[0]
-        return made[[*g.names, "v"]]
+        return made[[*names, "v"]]
 
     pairs = g.df.groupBy(*others, name).agg(F.max(F.when(F.col("i0") == 0, F.col("v"))).alias("re"), F.max(F.when(F.col("i0") == 1, F.col("v"))).alias("im"))
     schema = ", ".join(f"{c} long" for c in g.names) + ", v double"
@@ -203,7 +203,7 @@ def probe(g: Grid, points: DataFrame, kernel: str = "tent", derivative: str | No
     k = parse(kernel)
     d = parse(derivative) if derivative else None
     reach = int(np.ceil(max(k.support, d.support if d else 0)))
-    dim = g.dim
+    dim, sizes = g.dim, [a.size for a in g.axes]
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -214,7 +214,7 @@ def probe(g: Grid, points: DataFrame, kernel: str = "tent", derivative: str | No
             w = k.f(x[:, None] - at)
             cols = {"p": np.repeat(pdf["p"].to_numpy(), len(offs))}
             for j in range(dim):
-                cols[f"i{j}"] = border_index(at[:, :, j], g.axes[j].size, rule).ravel()
+                cols[f"i{j}"] = border_index(at[:, :, j], sizes[j], rule).ravel()
             cols["w"] = w.prod(2).ravel()
             for j in range(dim):
                 wj = d.f(x[:, None, j] - at[:, :, j]) * np.delete(w, j, 2).prod(2) if d else np.zeros(at.shape[:2])
