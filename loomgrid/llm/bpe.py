@@ -30,7 +30,7 @@ from loomgrid.llm import _text
 #: Pre-tokens of more bytes are merged with a heap.
 LONG = 192
 #: Pre-tokens that a worker remembers.
-KNOWN = 300_000
+KNOWN = 700_000
 #: Bytes of one matrix.
 MATRIX = 1 << 20
 NO_RANK = np.int32(2**31 - 1)
@@ -76,6 +76,18 @@ class PairTable:
         return self.rank[at], self.merged[at]
 
 
+class _Numbers(dict):
+    """Numbers new keys as they are asked for."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+
 class Encoder:
     """Encodes pre-tokens by ``pairs``; ``whole`` takes a pre-token that is a token as it is, before any merge."""
 
@@ -125,7 +137,7 @@ class Encoder:
         return cls(token_bytes | {i: s.encode() for s, i in special.items()}, PairTable(left, right, np.arange(len(pairs), dtype=np.int32), merged), pattern, False, special)
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.at = np.zeros(1 << 12, np.int64)
         self.count = np.zeros(1 << 12, np.int64)
         self.ids = np.zeros(1 << 14, np.int32)
@@ -156,73 +168,76 @@ class Encoder:
                         heapq.heappush(heap, (int(r[0]), x, ids[x], ids[after[x]], int(got[0])))
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def _matrix(self, rows: list[bytes], width: int) -> list[np.ndarray]:
-        """Ids of each row; rows hold 2 to ``width`` bytes."""
+    def _matrix(self, rows: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(which rows are done, how many ids each has, their ids one after another); rows hold 2 to ``width`` bytes."""
         m = np.full((len(rows), width), -1, np.int32)
         lens = np.array([len(r) for r in rows])
         m[np.arange(width) < lens[:, None]] = self.byte_ids[np.frombuffer(b"".join(rows), np.uint8)]
-        out: list[np.ndarray] = [m[0]] * len(rows)
         alive = np.arange(len(rows))
         rank, merged = (x.reshape(len(rows), width - 1) for x in self.pairs.find(m[:, :-1].ravel(), m[:, 1:].ravel()))
         while len(alive):
             j = rank.argmin(1)
-            r = np.arange(len(alive))
-            go = rank[r, j] != NO_RANK
+            go = rank[np.arange(len(alive)), j] != NO_RANK
             if not go.all():
-                for i in np.flatnonzero(~go).tolist():
-                    out[alive[i]] = m[i][m[i] >= 0]
+                full = m[~go]
+                held = full >= 0
+                yield alive[~go], held.sum(1), full[held]
                 alive, m, rank, merged, j = alive[go], m[go], rank[go], merged[go], j[go]
-                r = np.arange(len(alive))
                 if not len(alive):
-                    break
+                    return
+            r = np.arange(len(alive))
             m[r, j] = merged[r, j]
-            keep = np.arange(m.shape[1]) != (j + 1)[:, None]
-            m = m[keep].reshape(len(alive), -1)
-            if m.shape[1] == 1:
-                for i in range(len(alive)):
-                    out[alive[i]] = m[i]
-                break
+            if m.shape[1] == 2:
+                yield alive, np.ones(len(alive), np.int64), m[:, 0]
+                return
+            m = m[np.arange(m.shape[1]) != (j + 1)[:, None]].reshape(len(alive), -1)
             keep = np.arange(rank.shape[1]) != j[:, None]
             rank, merged = rank[keep].reshape(len(alive), -1), merged[keep].reshape(len(alive), -1)
             for side in (j - 1, j):
                 ok = np.flatnonzero((side >= 0) & (side < rank.shape[1]))
                 c = side[ok]
                 rank[ok, c], merged[ok, c] = self.pairs.find(m[ok, c], m[ok, c + 1])
-        return out
+
+    def _store(self, numbers: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        self.count[numbers] = lens
+        self.at[numbers] = self.used + np.cumsum(lens) - lens
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def _learn(self, fresh: list[str]) -> None:
-        buckets: dict[int, list[tuple[str, bytes]]] = {}
-        done: list[tuple[str, np.ndarray]] = []
-        for t in fresh:
+        """Ids of the pre-tokens numbered last."""
+        base = len(self.known) - len(fresh)
+        while len(self.known) > len(self.at):
+            self.at, self.count = np.concatenate([self.at, self.at]), np.concatenate([self.count, self.count])
+        buckets: dict[int, tuple[list[int], list[bytes]]] = {}
+        single: list[tuple[int, int]] = []
+        for n, t in enumerate(fresh, base):
             b = t.encode()
+            size = len(b)
             if t in self.special:
-                done.append((t, np.array([self.special[t]], np.int32)))
+                single.append((n, self.special[t]))
             elif b in self.whole:
-                done.append((t, np.array([self.whole[b]], np.int32)))
-            elif len(b) == 1:
-                done.append((t, self.byte_ids[[b[0]]]))
-            elif len(b) > LONG:
-                done.append((t, self._heap(b)))
+                single.append((n, self.whole[b]))
+            elif size == 1:
+                single.append((n, int(self.byte_ids[b[0]])))
+            elif size > LONG:
+                got = self._heap(b)
+                self._store(np.array([n]), np.array([len(got)]), got)
             else:
-                buckets.setdefault(len(b) if len(b) < 17 else (len(b) + 7) // 8 * 8, []).append((t, b))
-        for width, items in buckets.items():
+                at = buckets.setdefault(size + size % 2 if size < 17 else (size + 7) // 8 * 8, ([], []))
+                at[0].append(n)
+                at[1].append(b)
+        if single:
+            numbers, ids = np.array(single).T
+            self._store(numbers, np.ones(len(numbers), np.int64), ids)
+        for width, (numbers, rows) in buckets.items():
             step = max(1, MATRIX // (4 * width))
-            for i in range(0, len(items), step):
-                part = items[i : i + step]
-                done += zip((t for t, _ in part), self._matrix([b for _, b in part], width), strict=True)
-        n, total = len(self.known), sum(len(x) for _, x in done)
-        while n + len(done) > len(self.at):
-            self.at, self.count = np.concatenate([self.at, self.at]), np.concatenate([self.count, self.count])
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, self.ids])
-        if not done:
-            return
-        lens = np.array([len(x) for _, x in done])
-        self.count[n : n + len(done)] = lens
-        self.at[n : n + len(done)] = self.used + np.cumsum(lens) - lens
-        self.ids[self.used : self.used + total] = np.concatenate([x for _, x in done])
-        self.used += total
-        self.known.update((t, n + i) for i, (t, _) in enumerate(done))
+            for i in range(0, len(rows), step):
+                part = np.array(numbers[i : i + step])
+                for which, lens, ids in self._matrix(rows[i : i + step], width):
+                    self._store(part[which], lens, ids)
 
     # -- whole texts ---------------------------------------------------------------------------------------
 
@@ -244,12 +259,11 @@ class Encoder:
             if t:
                 flat += self.pre_tokens(t)
             ends.append(len(flat))
-        fresh = set(flat).difference(self.known)
-        if len(self.known) + len(fresh) > KNOWN:
+        if len(self.known) > KNOWN:
             self.reset()
-            fresh = set(flat)
-        self._learn(list(fresh))
         which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        fresh, self.known.fresh = self.known.fresh, []
+        self._learn(fresh)
         lens = self.count[which]
         cum = np.concatenate([[0], np.cumsum(lens)])
         ids = self.ids[np.repeat(self.at[which] - cum[:-1], lens) + np.arange(cum[-1])]
