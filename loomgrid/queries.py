@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgrid.core.grid import Axis, Grid, from_table
 from loomgrid.functions.kernels import parse
 from loomgrid.operators import elementwise as E
-from loomgrid.operators import histograms, maps, measures, shape, stencil
+from loomgrid.operators import histograms, maps, measures, shape, stencil, tensor
 from loomgrid.plans import pipe
 from loomgrid.sources import arrays
 from loomgrid.streaming import windows
@@ -374,3 +374,23 @@ add(
 add("pipe", lambda s, sf: _out(pipe.run(_plane(events_line(s, sf)), "crop -min 0 0 -max M-1 M | flip -a 0 | project -a 1 -m mean"), 6), f"SELECT {WIDTH - 2} - i0 AS i0, round(avg(v), 6) AS v FROM {_PLANE} WHERE i0 < {WIDTH - 1} GROUP BY i0")
 add("compare", lambda s, sf: arrays.compare(g := events_line(s, sf), E.affine(g, 0, 100, 0, 100, True), 1e-9), "SELECT event_id AS i0, value AS a, 100.0::DOUBLE AS b FROM events WHERE value > 100.000000001")
 add("windowed_measures", lambda s, sf: windows.windowed(table(s, sf, "events"), ["event_type"], ["min", "max", "sum"]).select("start", "event_type", "min", "max", F.round("sum", 4).alias("sum")), "SELECT CAST(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) AS start, event_type, min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum FROM events GROUP BY ALL")
+
+# -- tensors: one made from each event ------------------------------------------------------------------------------------
+_TENSOR = "SELECT event_id, value AS a, user_id / 10.0 AS b, 3.0 AS c, value / 2 AS d, 1.0 AS e, 7.0 AS f FROM events"
+_DET = "(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))"
+_SQ = "(a * a + d * d + f * f + 2 * (b * b + c * c + e * e))"
+_DEV = f"({_SQ} - (a + d + f) * (a + d + f) / 3)"
+TENSOR_SQL = {"trace": "a + d + f", "norm": f"sqrt({_SQ})", "det": _DET, "fa": f"sqrt(1.5 * {_DEV} / {_SQ})", "mode": f"3 * sqrt(6) * ({_DET} - (a + d + f) / 3 * (a * d + a * f + d * f - b * b - c * c - e * e) + 2 * pow((a + d + f) / 3, 3)) / pow({_DEV}, 1.5)"}
+
+
+def _tensor(name: str) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        v = F.col("value")
+        t = F.array(F.lit(1.0), v, F.col("user_id") / 10, F.lit(3.0), v / 2, F.lit(1.0), F.lit(7.0))
+        return table(spark, sf, "events").select("event_id", F.round(tensor.masked(t, name), 5).alias("v"))
+
+    return query
+
+
+for _t in tensor.MEASURES:
+    add(f"tensor_{_t.replace('-', '_')}", _tensor(_t), f"SELECT event_id, round({TENSOR_SQL[_t]}, 5) AS v FROM ({_TENSOR})" if _t in TENSOR_SQL else None)
