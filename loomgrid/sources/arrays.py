@@ -1,4 +1,4 @@
-"""Array files as grids: NRRD (attached or detached, several encodings, multi-file), PNM, VTK structured points, plain text.
+"""Array files as grids: with a text header (attached or detached, several encodings, multi-file), PNM, VTK structured points, plain text.
 
 The header is read on the driver; payloads are read by a Python data source, one partition per slab of a raw
 file and one per compressed or text file.  Paths must be reachable by driver and executors alike.
@@ -72,13 +72,13 @@ def read_header(path: str) -> Header:
             return _pnm(path, f.read(4096))
         first = f.readline()
         if first.startswith(b"NRRD000"):
-            return _nrrd(path, f)
+            return _headed(path, f)
         if first.startswith(b"# vtk DataFile"):
             return _vtk(path, f)
     return _plain(path)
 
 
-def _nrrd(path: str, f) -> Header:
+def _headed(path: str, f) -> Header:
     fields, pairs, comments, rest = {}, {}, [], []
     while (line := f.readline()) and (text := line.decode().rstrip("\r\n")):
         if text.startswith("#"):
@@ -245,7 +245,7 @@ def read(spark: SparkSession, path: str) -> Grid:
     return Grid(df.select(*out, "v"), h.axes(), h.kind, notes=h.pairs)
 
 
-def write_nrrd(g: Grid, path: str, kind: str = "double", encoding: str = "raw") -> None:
+def write_array(g: Grid, path: str, kind: str = "double", encoding: str = "raw") -> None:
     """A header and one payload file beside it.  Values are gathered in order, so this is for results that one file can hold."""
     dtype = np.dtype("<" + TYPES[kind])
     rows = g.df.select(g.linear().alias("at"), "v").orderBy("at").toLocalIterator(prefetchPartitions=True)

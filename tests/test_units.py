@@ -100,10 +100,10 @@ def test_pipe_positions(spark):
 
 
 @pytest.mark.parametrize("encoding", ["raw", "gzip", "bzip2", "hex", "ascii"])
-def test_nrrd_round_trip(spark, tmp_path, encoding):
+def test_array_file_round_trip(spark, tmp_path, encoding):
     g = shape.reshape(line(spark, [x / 4 for x in range(24)]), [2, 3, 4])
-    path = str(tmp_path / "a.nrrd")
-    arrays.write_nrrd(g, path, "double", encoding)
+    path = str(tmp_path / "a.arr")
+    arrays.write_array(g, path, "double", encoding)
     back = arrays.read(spark, path)
     assert [a.size for a in back.axes] == [2, 3, 4]
     assert arrays.compare(g, back).count() == 0
