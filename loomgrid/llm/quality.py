@@ -140,4 +140,7 @@ def assess(docs: DataFrame, text_col: str = "text", out: str = "quality", rules:
 
 def quality_filter(docs: DataFrame, text_col: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns and texts as they came."""
-    return assess(docs, text_col, "__quality", rules).filter("__quality.kept").drop("__quality")
+    # A filter moved below the projections would carry a copy of all their expressions, each copy of copies; it can't
+    # pass one with a field that isn't deterministic, such as the row number that it asks for here.
+    judged = assess(docs, text_col, "__quality", rules).withColumn("__row", F.monotonically_increasing_id())
+    return judged.filter("__quality.kept AND __row >= 0").drop("__quality", "__row")
