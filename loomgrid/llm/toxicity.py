@@ -34,6 +34,8 @@ LIFT = 8.0
 BLOCK = 64
 NEAREST = 16
 PRIOR = 0.5
+#: Examples whose words are held at once while the vocabulary is selected and the index built.
+SELECTED_AT_ONCE = 64
 THRESHOLD = 0.7
 
 _INSIDE = np.zeros(256, bool)
@@ -58,11 +60,18 @@ def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def select_terms(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     """The vocabulary (sorted hashes) that tells the examples' labels apart."""
-    of, h = terms(*_encode(texts))
-    pairs = np.unique(np.stack([h, of.astype(np.uint64)], 1), axis=0)
-    words, at = np.unique(pairs[:, 0], return_inverse=True)
-    bad = np.bincount(at, toxic[pairs[:, 1].astype(np.int64)], len(words))
-    good = np.bincount(at, minlength=len(words)) - bad
+    held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for i in range(0, len(texts), SELECTED_AT_ONCE):
+        part = texts[i : i + SELECTED_AT_ONCE]
+        of, h = terms(*_encode(part))
+        order = np.argsort(of, kind="stable")
+        for d, own in enumerate(np.split(h[order], np.searchsorted(of[order], np.arange(1, len(part))))):
+            held[int(toxic[i + d])].append(np.unique(own))
+    (good_words, n_in_good), (bad_words, n_in_bad) = (np.unique(np.concatenate([np.zeros(0, np.uint64), *x]), return_counts=True) for x in held)
+    words = np.union1d(good_words, bad_words)
+    good, bad = np.zeros(len(words)), np.zeros(len(words))
+    good[np.searchsorted(words, good_words)] = n_in_good
+    bad[np.searchsorted(words, bad_words)] = n_in_bad
     n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
     ratio = ((bad + 0.5) / (n_bad + 1)) / ((good + 0.5) / (n_good + 1))
     up = (ratio >= LIFT) & (bad >= max(LEAST, SUPPORT * n_bad))
@@ -97,7 +106,9 @@ class Index:
 
     @classmethod
     def build(cls, vocabulary: np.ndarray, idf: np.ndarray, texts: list[str], toxic: np.ndarray, ids: np.ndarray) -> Index:
-        of, term, n = _counts(vocabulary, *_encode(texts))
+        parts = [(i, _counts(vocabulary, *_encode(texts[i : i + SELECTED_AT_ONCE]))) for i in range(0, len(texts), SELECTED_AT_ONCE)]
+        none = np.zeros(0, np.int64)
+        of, term, n = (np.concatenate([none, *(p[k] + (i if k == 0 else 0) for i, p in parts)]) for k in range(3))
         w = n * idf[term]
         norm = np.sqrt(np.bincount(of, w * w, len(texts)))
         w = w / norm[of]
