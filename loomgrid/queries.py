@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -198,6 +199,12 @@ add(
     lambda s, sf: measures.group_measure(table(s, sf, "supplier").filter("s_suppkey < 40").withColumn("x", F.col("s_acctbal") / 1000), ["s_nationkey"], "product", "x").select("s_nationkey", F.round("v", 6).alias("v")),
     "SELECT s_nationkey, round(product(s_acctbal / 1000), 6) AS v FROM supplier WHERE s_suppkey < 40 GROUP BY s_nationkey",
 )
+#: Factors near 1, so that the product over all suppliers of a nation stays finite at any scale.
+add(
+    "measure_product_whole",
+    lambda s, sf: measures.group_measure(table(s, sf, "supplier").withColumn("x", 1 + F.col("s_acctbal") / 1e6), ["s_nationkey"], "product", "x").select("s_nationkey", F.round("v", 6).alias("v")),
+    "SELECT s_nationkey, round(product(1 + s_acctbal / 1e6), 6) AS v FROM supplier GROUP BY s_nationkey",
+)
 add(
     "measure_mode",
     lambda s, sf: measures.group_measure(table(s, sf, "part"), ["p_brand"], "mode", "p_size").select("p_brand", F.round("v", 6).alias("v")),
@@ -272,6 +279,28 @@ def _tiled(s: SparkSession, sf: str) -> Grid:
 _TILE = "SELECT event_id % 5 + 5 * ((event_id // 25) % 4) AS i0, (event_id // 5) % 5 + 5 * ((event_id // 25) // 4) AS i1, value AS v FROM events WHERE event_id < 300"
 add("tile", lambda s, sf: _out(_tiled(s, sf)), _TILE)
 add("untile", lambda s, sf: _out(shape.untile(_tiled(s, sf), 0, 1, 2, 4, 3)), "SELECT event_id % 5 AS i0, (event_id // 5) % 5 AS i1, event_id // 25 AS i2, value AS v FROM events WHERE event_id < 300")
+
+
+def _tiles(n: int) -> tuple[int, int]:
+    """The most nearly square fast x slow grid of exactly ``n`` tiles."""
+    fast = next(f for f in range(math.isqrt(n), 0, -1) if n % f == 0)
+    return fast, n // fast
+
+
+def _tiled_whole(s: SparkSession, sf: str) -> tuple[Grid, int, int]:
+    c = _cube(s, sf)
+    fast, slow = _tiles(c.axes[2].size)
+    return shape.tile(c, 0, 1, 2, fast, slow), fast, slow
+
+
+def _untiled_whole(s: SparkSession, sf: str) -> DataFrame:
+    g, fast, slow = _tiled_whole(s, sf)
+    return _out(shape.untile(g, 0, 1, 2, fast, slow))
+
+
+_FAST = f"(SELECT max(f) AS f FROM (SELECT unnest(generate_series(1, n)) AS f, n FROM {_N}) WHERE n % f = 0 AND f * f <= n)"
+add("tile_whole", lambda s, sf: _out(_tiled_whole(s, sf)[0]), f"SELECT event_id % 5 + 5 * ((event_id // 25) % f) AS i0, (event_id // 5) % 5 + 5 * ((event_id // 25) // f) AS i1, value AS v FROM events, {_FAST}")
+add("untile_whole", _untiled_whole, "SELECT event_id % 5 AS i0, (event_id // 5) % 5 AS i1, event_id // 25 AS i2, value AS v FROM events")
 add("join_concat", lambda s, sf: _out(shape.join([(g := _plane(events_line(s, sf))), shape.flip(g, 0)], 0)), f"SELECT i0, i1, v FROM {_PLANE} UNION ALL SELECT {2 * WIDTH - 1} - i0, i1, v FROM {_PLANE}")
 add("join_stack", lambda s, sf: _out(shape.join([(g := _plane(events_line(s, sf))), shape.flip(g, 0)], 1, True)), f"SELECT i0, 0 AS i1, i1 AS i2, v FROM {_PLANE} UNION ALL SELECT {WIDTH - 1} - i0, 1, i1, v FROM {_PLANE}")
 add("splice", lambda s, sf: _out(shape.splice(g := _plane(events_line(s, sf)), 0, 2, shape.slice_at(g, 0, 5))), f"SELECT i0, i1, v FROM {_PLANE} WHERE i0 <> 2 UNION ALL SELECT 2, i1, v FROM {_PLANE} WHERE i0 = 5")
@@ -371,6 +400,19 @@ add(
     "probe_tent", _probe,
     f"SELECT p, round(0.75 * 0.5 * a.v + 0.25 * 0.5 * b.v + 0.75 * 0.5 * c.v + 0.25 * 0.5 * d.v, 6) AS value FROM (SELECT event_id AS p, event_id % 20 AS x, event_id // 20 AS y FROM events WHERE event_id < 200) JOIN {_PLANE} a ON a.i0 = x AND a.i1 = y JOIN {_PLANE} b ON b.i0 = x + 1 AND b.i1 = y JOIN {_PLANE} c ON c.i0 = x AND c.i1 = y + 1 JOIN {_PLANE} d ON d.i0 = x + 1 AND d.i1 = y + 1",
 )
+
+
+def _probe_whole(s: SparkSession, sf: str) -> DataFrame:
+    """At one point an event, between its cell and the next ones; the last cells bleed."""
+    e = F.col("event_id")
+    points = table(s, sf, "events").select(e.alias("p"), (e % WIDTH + 0.25).alias("x0"), (F.floor(e / WIDTH) + 0.5).alias("x1"))
+    return stencil.probe(_plane(events_line(s, sf)), points).select("p", F.round("value", 6).alias("value"))
+
+
+add(
+    "probe_tent_whole", _probe_whole,
+    f"WITH g AS {_PLANE}, q AS (SELECT i0 + {WIDTH} * i1 AS p, i0 AS x, i1 AS y, least(i0 + 1, {WIDTH - 1}) AS x2, least(i1 + 1, n - 1) AS y2 FROM g, {_N}) SELECT p, round(0.75 * 0.5 * a.v + 0.25 * 0.5 * b.v + 0.75 * 0.5 * c.v + 0.25 * 0.5 * d.v, 6) AS value FROM q JOIN g a ON a.i0 = x AND a.i1 = y JOIN g b ON b.i0 = x2 AND b.i1 = y JOIN g c ON c.i0 = x AND c.i1 = y2 JOIN g d ON d.i0 = x2 AND d.i1 = y2",
+)
 add("pipe", lambda s, sf: _out(pipe.run(_plane(events_line(s, sf)), "crop -min 0 0 -max M-1 M | flip -a 0 | project -a 1 -m mean"), 6), f"SELECT {WIDTH - 2} - i0 AS i0, round(avg(v), 6) AS v FROM {_PLANE} WHERE i0 < {WIDTH - 1} GROUP BY i0")
 add("compare", lambda s, sf: arrays.compare(g := events_line(s, sf), E.affine(g, 0, 100, 0, 100, True), 1e-9), "SELECT event_id AS i0, value AS a, 100.0::DOUBLE AS b FROM events WHERE value > 100.000000001")
 add("windowed_measures", lambda s, sf: windows.windowed(table(s, sf, "events"), ["event_type"], ["min", "max", "sum"]).select("start", "event_type", "min", "max", F.round("sum", 4).alias("sum")), "SELECT CAST(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) AS start, event_type, min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum FROM events GROUP BY ALL")
