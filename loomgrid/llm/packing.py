@@ -61,10 +61,10 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 def _dominated(filling: Filling, slack: int, lengths: list[int], counts: dict[int, int]) -> bool:
     """Whether some item left over could replace a part of the filling that is no longer than it, and still fit."""
     used = Counter(filling)
-    sums = {0}
+    bits = 1  # bit s: some part of the filling has the sum s
     for n in filling:
-        sums |= {s + n for s in sums}
-    for s in sums:
+        bits |= bits << n
+    for s in (s for s in range(bits.bit_length()) if bits >> s & 1):
         i = bisect_right(lengths, s + slack)
         while i and lengths[i - 1] >= max(s, 1):
             n = lengths[i - 1]
@@ -74,41 +74,60 @@ def _dominated(filling: Filling, slack: int, lengths: list[int], counts: dict[in
     return False
 
 
+def _topped_up(space: int, chosen: tuple[tuple[int, int], ...], counts: dict[int, int], lengths: list[int]) -> tuple[int, tuple[tuple[int, int], ...]]:
+    """What is left of ``space``, and the (length, how often) chosen, once the longest items that fit are in."""
+    times = dict(chosen)
+    i = bisect_right(lengths, space)
+    while i:
+        n = lengths[i - 1]
+        more = min(counts[n] - times.get(n, 0), space // n)
+        if more > 0:
+            times[n] = times.get(n, 0) + more
+            space -= n * more
+        i = min(i - 1, bisect_right(lengths, space))
+    return space, tuple(sorted(times.items(), reverse=True))
+
+
 def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int = FILLINGS, nodes: int = FILL_NODES) -> list[Filling]:
-    """Maximal undominated multisets of ``lengths`` (ascending) that fit ``room``, the least waste first."""
+    """Maximal undominated multisets of ``lengths`` (ascending) that fit ``room``, the least waste first.
+
+    A node takes a length as often as fits or less, however many items that is; the filling that is open when
+    the nodes end is topped up.
+    """
     if counts.get(room, 0) > 0:
         return [(room,)]  # one item that leaves nothing dominates every filling
-    found: list[tuple[int, Filling]] = []
+    found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     left = nodes
 
-    def go(space: int, top: int, chosen: Filling, used: dict[int, int]) -> bool:
+    def go(space: int, top: int, chosen: tuple[tuple[int, int], ...], more: bool) -> bool:
+        """``more``: another item of the length chosen last would fit."""
         nonlocal left
         i = bisect_right(lengths, min(space, top))
-        maximal = True
+        maximal = not more
         while i:
             n = lengths[i - 1]
             i -= 1
-            if counts[n] <= used.get(n, 0):
-                continue
-            maximal = False
-            left -= 1
-            if left < 0:
-                break
-            used[n] = used.get(n, 0) + 1
-            done = go(space - n, n, (*chosen, n), used)
-            used[n] -= 1
-            if done:
-                return True
-        if maximal or left < 0:
+            most = min(counts[n], space // n)
+            if most > 0:
+                maximal = False
+            for times in range(most, 0, -1):
+                left -= 1
+                if left < 0:
+                    found.append(_topped_up(space, chosen, counts, lengths))
+                    return True
+                if go(space - n * times, n - 1, (*chosen, (n, times)), times < most):
+                    return True
+        if maximal:
             # a shorter item may still fit where only ``top`` forbade longer ones: those sets come up elsewhere
             found.append((space, chosen))
-            return space == 0 and limit == 1 or left < 0
+            return space == 0 and limit == 1
         return False
 
-    go(room, room, (), {})
-    found.sort(key=lambda x: (x[0], len(x[1]), tuple(-n for n in x[1])))
-    out = [f for s, f in found[: 8 * limit] if not _dominated(f, s, lengths, counts)][:limit]
-    return out or [f for _, f in found[:1]] or [()]
+    go(room, room, (), False)
+    found.sort(key=lambda x: (x[0], sum(m for _, m in x[1]), tuple((-n, -m) for n, m in x[1])))
+    items = [(s, tuple(n for n, m in f for _ in range(m))) for s, f in found[: 8 * limit]]
+    out = [f for s, f in items if not _dominated(f, s, lengths, counts)][:limit]
+    return out or [f for _, f in items[:1]] or [()]
 
 
 def _greedy(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
