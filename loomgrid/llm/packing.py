@@ -3,9 +3,11 @@
 Only lengths matter to a packing, and there are at most ``capacity`` of them, so the search runs on a
 histogram whose size has that bound.  Around the largest length left, fillings are enumerated that no other
 filling dominates (an item, or several, replaced by one larger item that still fits); the tightest goes
-first, as often as the counts allow.  The packing found that way is the incumbent.  Where it needs more
-sequences than the lower bound, a depth-first branch and bound tries other fillings, cutting branches whose
-waste can't beat the incumbent, up to ``NODES`` nodes.
+first, as often as the counts allow.  That packing or the best-fit decreasing one, whichever is shorter, is the
+incumbent.  Where it needs more sequences than the lower bound, a depth-first branch and bound tries other
+fillings, each as often as the counts allow or once, cutting branches whose waste can't beat the incumbent, up
+to ``NODES`` nodes.  It runs on the histogram whatever the number of rows: first on the sequences with the most
+waste, then with more and more of the others.
 
 The items are then ranked within their length (by a salted count, so that a length which a third of all rows
 has is dealt over many tasks) and looked up in the table of slots: rank r of length n has one slot.
@@ -17,7 +19,7 @@ rows of their own; an empty table gives an empty result; other columns are ignor
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +38,8 @@ END_ID = 0
 NODES = 20_000
 FILL_NODES = 3_000
 FILLINGS = 8
+#: Sequences that the branch and bound takes up first.
+TAKEN = 8
 #: Rows that one salt of a length should hold, and the most salts.
 ROWS_A_SALT = 100_000
 SALTS = 4096
@@ -44,18 +48,16 @@ Filling = tuple[int, ...]
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Sequences that any packing needs: the total length, or large items that can't share with those over ``capacity - t``."""
-    total = sum(n * c for n, c in counts.items())
-    best = -(-total // capacity)
-    lengths = sorted(counts)
-    for t in [n for n in lengths if n <= capacity // 2][:64] or [0]:
-        big = sum(c for n, c in counts.items() if n > capacity - t)
-        mid = [(n, c) for n, c in counts.items() if capacity / 2 < n <= capacity - t]
-        n_mid = sum(c for _, c in mid)
-        low = sum(n * c for n, c in counts.items() if t <= n <= capacity // 2)
-        room = n_mid * capacity - sum(n * c for n, c in mid)
-        best = max(best, big + n_mid + max(0, -(-(low - room) // capacity)))
-    return best
+    """Sequences that any packing needs: the total length, or for some ``t`` large items that can't share with those over ``capacity - t``."""
+    c = np.zeros(capacity + 1, np.int64)
+    c[list(counts)] = list(counts.values())
+    cnt, tot = np.cumsum(c), np.cumsum(c * np.arange(capacity + 1))
+    half = capacity // 2
+    t = np.concatenate([[0], np.flatnonzero(c[: half + 1])])
+    large = cnt[-1] - cnt[half]  # none of them can share with another
+    room = (cnt[capacity - t] - cnt[half]) * capacity - (tot[capacity - t] - tot[half])
+    low = tot[half] - tot[np.maximum(t - 1, 0)]
+    return int(max(-(-tot[-1] // capacity), large + max(0, np.max(-((room - low) // capacity)))))
 
 
 def _dominated(filling: Filling, slack: int, lengths: list[int], counts: dict[int, int]) -> bool:
@@ -64,7 +66,7 @@ def _dominated(filling: Filling, slack: int, lengths: list[int], counts: dict[in
     bits = 1  # bit s: some part of the filling has the sum s
     for n in filling:
         bits |= bits << n
-    for s in (s for s in range(bits.bit_length()) if bits >> s & 1):
+    for s in (s for s, bit in enumerate(bin(bits)[:1:-1]) if bit == "1"):
         i = bisect_right(lengths, s + slack)
         while i and lengths[i - 1] >= max(s, 1):
             n = lengths[i - 1]
@@ -124,6 +126,9 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int =
         return False
 
     go(room, room, (), False)
+    if len(found) > 8 * limit:
+        edge = sorted(s for s, _ in found)[8 * limit - 1]
+        found = [x for x in found if x[0] <= edge]
     found.sort(key=lambda x: (x[0], sum(m for _, m in x[1]), tuple((-n, -m) for n, m in x[1])))
     items = [(s, tuple(n for n, m in f for _ in range(m))) for s, f in found[: 8 * limit]]
     out = [f for s, f in items if not _dominated(f, s, lengths, counts)][:limit]
@@ -151,48 +156,116 @@ def _greedy(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     return out
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Filling, int]]:
-    """A packing of ``counts`` (length: how many) as (lengths of one sequence, how many such sequences)."""
-    counts = {n: c for n, c in counts.items() if c > 0}
-    if any(not 0 < n <= capacity for n in counts):
-        raise ValueError(f"lengths must be from 1 to {capacity}")
-    best = _greedy(counts, capacity)
-    least, most = lower_bound(counts, capacity), sum(t for _, t in best)
-    if most <= least or sum(counts.values()) > 800:
-        return best
-    left, budget = dict(counts), nodes
-    total = sum(n * c for n, c in counts.items())
-    chosen: list[Filling] = []
-
-    def branch(rest: int) -> bool:
-        """True once the lower bound is met or the budget is gone."""
-        nonlocal best, most, budget
-        budget -= 1
-        if budget < 0:
-            return True
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+    """Each item, the longest first, into the fullest sequence that has room for it; sequences alike are kept as one group."""
+    rooms: list[int] = []
+    groups: dict[int, list[tuple[Filling, int]]] = {}
+
+    def put(room: int, filling: Filling, times: int) -> None:
+        if room not in groups:
+            groups[room] = []
+            insort(rooms, room)
+        groups[room].append((filling, times))
+
+    for n in sorted(counts, reverse=True):
+        c = counts[n]
+        while c > 0:
+            i = bisect_left(rooms, n)
+            if i == len(rooms):
+                put(capacity, (), -(-c // (capacity // n)))
+            room = rooms[i]
+            filling, times = groups[room].pop()
+            # a sequence that got the item stays the fullest one with room until it has none
+            each = min(room // n, c)
+            full = min(times, c // each)
+            if full < times:
+                groups[room].append((filling, times - full))
+            elif not groups[room]:
+                del groups[room], rooms[i]
+            put(room - n * each, filling + (n,) * each, full)
+            c -= full * each
+    return [(f, t) for g in groups.values() for f, t in g]
+
+
+def _search(counts: dict[int, int], capacity: int, most: int, nodes: int) -> tuple[list[tuple[Filling, int]] | None, int]:
+    """A packing of fewer than ``most`` sequences by depth-first branch and bound, or None; and the nodes left."""
+    left, chosen, used = dict(counts), [], 0
+
+    def options() -> Iterator[tuple[Filling, int]]:
         lengths = sorted(n for n, c in left.items() if c)
-        if not lengths:
-            best, most = [(f, 1) for f in chosen], len(chosen)
-            return most <= least
-        if len(chosen) + max(-(-rest // capacity), lower_bound({n: left[n] for n in lengths}, capacity)) >= most:
-            return False
         top = lengths[-1]
         left[top] -= 1
-        for fill in fillings(capacity - top, left, lengths):
-            for n in fill:
-                left[n] -= 1
-            chosen.append((top, *fill))
-            done = branch(rest - top - sum(fill))
-            chosen.pop()
-            for n in fill:
-                left[n] += 1
-            if done:
-                left[top] += 1
-                return True
+        found = fillings(capacity - top, left, lengths)
         left[top] += 1
-        return False
+        for fill in found:
+            times = min(left[n] // k for n, k in Counter((top, *fill)).items())
+            yield (top, *fill), times
+            if times > 1:
+                yield (top, *fill), 1
+
+    def take(filling: Filling, times: int) -> None:
+        for n in filling:
+            left[n] -= times
+
+    if lower_bound(left, capacity) >= most:
+        return None, nodes
+    stack = [options()]
+    while stack and nodes > 0:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if chosen:
+                filling, times = chosen.pop()
+                take(filling, -times)
+                used -= times
+            continue
+        nodes -= 1
+        take(*step)
+        bound = used + step[1] + lower_bound({n: c for n, c in left.items() if c}, capacity)
+        if bound >= most:
+            take(step[0], -step[1])
+            continue
+        chosen.append(step)
+        used += step[1]
+        if not any(left.values()):
+            return list(chosen), nodes
+        stack.append(options())
+    return None, nodes
 
-    branch(total)
+
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Filling, int]]:
+    """A packing of ``counts`` (length: how many) as (lengths of one sequence, how many such sequences).
+
+    The branch and bound takes up the sequences of the incumbent with the most waste, with twice as many fuller ones
+    each time, until it has taken up all of them, the lower bound is met or the nodes are spent.
+    """
+    counts = {n: c for n, c in counts.items() if c > 0}
+    if any(not 0 < n <= capacity for n in counts):
+        raise ValueError(f"lengths must be from 1 to {capacity}")
+    best = min((_greedy(counts, capacity), best_fit_decreasing(counts, capacity)), key=lambda p: sum(t for _, t in p))
+    least, most = lower_bound(counts, capacity), sum(t for _, t in best)
+    taken = TAKEN
+    while most > least and nodes > 0:
+        best.sort(key=lambda p: sum(p[0]))
+        tail: Counter[int] = Counter()
+        kept, n_tail = [], 0
+        for filling, times in best:
+            k = min(times, taken - n_tail)
+            n_tail += k
+            for n in filling if k else ():
+                tail[n] += k
+            if times > k:
+                kept.append((filling, times - k))
+        share = nodes if n_tail == most else min(nodes, max(1, nodes // 4))
+        better, spared = _search(tail, capacity, n_tail, share)
+        nodes -= share - spared
+        if better:
+            best = kept + better
+            most = sum(t for _, t in best)
+        elif n_tail == most:
+            break
+        else:
+            taken *= 2
     return best
 
 
