@@ -7,9 +7,11 @@ A text's set is its distinct word shingles, as 64-bit hashes; its sketch is the
    member of a list meets only the list's leader (the class with most copies), then ``LEADERS`` others: a group
    of n near copies costs a few n pairs, not n squared.  Verified links merge into components.
 3. Lists that still hold several components then give every pair of representatives of *different*
-   components.  A list of more than ``CROWD`` components (a passage that many unlike texts share) is left out
-   for texts with at least ``FREE`` values in less crowded lists, as two texts of Jaccard 0.8 share one of those
-   with a probability of 1 - 0.2**FREE at least; texts without so many keep the crowded lists too, in full.
+   components.  In a list of more than ``CROWD`` components (a passage that many unlike texts share) only those
+   pairs are formed of which a text is tight; representatives with such a list are listed by all retained values
+   first, and are tight if fewer than ``FREE`` of these are in less crowded lists.  If the passage is the share c
+   of the union of two texts of Jaccard 0.8, a free value is shared with the chance (0.8 - c) / (1 - c), not 0.8;
+   so a pair that isn't tight is missed with 0.4**16 at c = 0.5 and 0.5**16 at c = 0.6, where few have 16 free.
 4. Pairs must agree in size and in two digests that are compared where lists meet: the parity digest of the whole
    set, in which two sets differ in at most as many bits as the sets do in members (so no link is lost), and a
    bit map of the sketch.  They are then filtered by the Jaccard of the union sketch (at ``ESTIMATE``, far below the threshold, five
@@ -44,7 +46,7 @@ PARITY = 16
 MAP = 2
 #: Ids of texts that are broadcast to the scan; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
-FREE = 6
+FREE = 16
 ESTIMATE = 0.45
 
 
@@ -153,11 +155,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         exact = likely.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
         return exact.withColumn("common", F.size(F.array_intersect("sa", "sb"))).filter(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b")
 
-    def with_components(links: DataFrame) -> DataFrame:
+    def with_components(merged: DataFrame, listed: DataFrame) -> DataFrame:
         """(v, rep, n, component, in_list) of the lists that hold several components."""
-        merged = components(links)
         placed = cut(
-            postings.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component"))
+            listed.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component"))
         )
         lists = placed.groupBy("v", "component").count().groupBy("v").agg(F.count("*").alias("in_list")).filter("in_list > 1")
         return placed.join(lists, "v")
@@ -170,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(named(of, "a"), "a").join(named(of, "b"), "b").filter(near).select("a", "b")
 
     links = cut(verified(checked(star)))
-    mixed = cut(with_components(links))
+    mixed = cut(with_components(components(links), postings))
     others = mixed.groupBy("v").agg(*(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "v", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)))
     again = (
         mixed.select("v", "rep", "component").join(others, "v").select(F.col("rep").alias("a"), "component", F.explode(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l"))
@@ -178,13 +179,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     links = cut(links.union(verified(checked(again))))
 
-    mixed = with_components(links).withColumn("crowded", F.col("in_list") > CROWD)
+    merged = cut(components(links))
+    crowding = cut(with_components(merged, postings).filter(F.col("in_list") > CROWD).select("rep").distinct())
+    further = reps.join(crowding, "rep", "left_semi").select("rep", "n", "copies", F.explode(F.slice("sketch", LISTED + 1, RETAINED)).alias("v"))
+    mixed = cut(with_components(merged, postings.union(further)).withColumn("crowded", F.col("in_list") > CROWD))
     # Values in lists of one component or one text count as free: whatever is linked by them is merged already.
-    crowds = mixed.groupBy("rep").agg(F.count_if("crowded").alias("n_crowded"))
-    sizes = reps.select("rep", F.least(F.size("sketch"), F.lit(LISTED)).alias("n_listed"))
+    crowds = mixed.groupBy("rep").agg(F.count_if("crowded").alias("n_crowded")).filter("n_crowded > 0")
+    sizes = reps.join(crowding.withColumn("all", F.lit(True)), "rep", "left").select("rep", F.least(F.size("sketch"), F.when(F.col("all"), RETAINED).otherwise(LISTED)).alias("n_listed"))
     tight = crowds.join(sizes, "rep").select("rep", (F.col("n_listed") - F.col("n_crowded") < FREE).alias("tight"))
-    side = cut(mixed.join(tight, "rep").filter("NOT crowded OR tight").select("v", "rep", "n", "component").join(digests, "rep"))
-    pairs = named(side, "a").join(named(side, "b"), "v").filter(f"a < b AND a_component <> b_component AND {near}").select("a", "b").distinct()
+    side = cut(mixed.join(tight, "rep", "left").select("v", "rep", "n", "component", "crowded", F.coalesce("tight", F.lit(False)).alias("tight")))
+
+    def met(left: str, right: str, order: str) -> DataFrame:
+        a, b = (named(side.filter(x).select("v", "rep", "n", "component").join(digests, "rep"), y) for x, y in ((left, "a"), (right, "b")))
+        return a.join(b, "v").filter(f"{order} AND a_component <> b_component AND {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    pairs = met("NOT crowded", "NOT crowded", "a < b").union(met("crowded AND tight", "crowded", "a <> b")).distinct()
     more = verified(pairs)
     joined = components(links.union(more))
     of_class = reps.select("n", "f1", "f2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
