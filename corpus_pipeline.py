@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns they got.
 Defined cases are those of the operators: null and empty texts score the prior of toxicity, fail the quality
-rules, and so are gone before packing; rows with a null doc_id are linked with nothing; of rows that
-share a doc_id one stays; empty tables pass through.
+rules, and so are gone before packing; rows with a null doc_id are linked with nothing; rows that
+share a doc_id are compared by their texts as any others; empty tables pass through.
 """
 
 from __future__ import annotations
@@ -30,14 +30,19 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, a Jaccard similarity of 0.8 or more)."""
-    verdicts = neardup.near_duplicates(docs, k=5, percent=80)
-    gone = cut(verdicts.filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
-    stay = docs.join(_small(gone), docs["doc_id"] == gone["__gone"], "left_anti")
     again = cut(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__again")))
     if again.isEmpty():
-        return stay
-    once = stay.join(_small(again), stay["doc_id"] == again["__again"], "left_anti")
-    return once.union(stay.join(_small(again), stay["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"]))
+        return _kept(docs, "doc_id")
+    # rows that share an id are told apart by their text, with keys over all ids that are likely
+    own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = docs.join(_small(again), docs["doc_id"] == again["__again"], "left").withColumn("__key", F.when(F.col("__again").isNull(), F.col("doc_id").cast("long")).otherwise(own))
+    stay = _kept(cut(keyed), "__key")
+    return stay.filter("__again IS NULL").union(stay.filter("__again IS NOT NULL").dropDuplicates(["__key"])).select(docs.columns)
+
+
+def _kept(docs: DataFrame, key: str) -> DataFrame:
+    gone = cut(neardup.near_duplicates(docs, key, k=5, percent=80).filter("NOT kept").select(F.col(key).alias("__gone")).distinct())
+    return docs.join(_small(gone), docs[key] == gone["__gone"], "left_anti")
 
 
 def _small(ids: DataFrame) -> DataFrame:
