@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgrid.core import lineage
 from loomgrid.core.exists import exists
 from loomgrid.core.grid import Axis, Grid
 from loomgrid.functions.kernels import Kernel, parse
@@ -111,7 +112,7 @@ def distance(g: Grid, axis: int, threshold: float, above: bool = True) -> Grid:
 
 def components(g: Grid, connectivity: int | None = None) -> Grid:
     """Labels of connected equal values, numbered from 0 by least linear index; neighbours differ by one in at most
-    ``connectivity`` coordinates.  Labels spread by minima and pointer jumps until none changes."""
+    ``connectivity`` coordinates."""
     from itertools import product
 
     most = g.dim if connectivity is None else connectivity
@@ -122,19 +123,11 @@ def components(g: Grid, connectivity: int | None = None) -> Grid:
         moved = nodes.select(*((F.col(n) - s).alias(n) for n, s in zip(g.names, d, strict=True)), F.col("v").alias("v2"), F.col("id").alias("b"))
         e = nodes.join(moved, g.names).filter("v = v2").select(F.col("id").alias("a"), "b")
         edges = e if edges is None else edges.union(e)
-    both = _cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = _cut(nodes.select("id", F.col("id").alias("l")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        low = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
-        up = low.select(F.col("id").alias("n"), F.col("n").alias("j"))
-        new = _cut(low.join(up, "n").select("id", "l", F.least("n", "j").alias("n")))
-        if new.filter("n <> l").isEmpty():
-            break
-        labels = new.select("id", F.col("n").alias("l"))
-    ids = labels.select("l").distinct()
-    numbers = ids.select("l", (F.rank().over(Window.orderBy("l")) - 1).cast("double").alias("n"))
-    out = nodes.join(labels, "id").join(numbers, "l").select(*g.names, F.col("n").alias("v"))
+    joined = lineage.components(edges)
+    labels = nodes.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("l", F.coalesce("component", "id"))
+    labels = lineage.cut(labels.select(*g.names, "l"))
+    numbers = lineage.numbered(labels.select("l").distinct(), "l", "n")
+    out = labels.join(numbers, "l").select(*g.names, F.col("n").cast("double").alias("v"))
     return Grid(out, g.axes, "uint", "ccfind")
 
 
@@ -154,8 +147,8 @@ def adjacency(labels: Grid) -> DataFrame:
 
 def settle(labels: Grid) -> Grid:
     """Labels renumbered without gaps, in order."""
-    ids = labels.df.select("v").distinct()
-    numbers = ids.select(F.col("v").alias("old"), (F.rank().over(Window.orderBy("v")) - 1).cast("double").alias("new"))
+    ids = labels.df.select(F.col("v").alias("old")).distinct()
+    numbers = lineage.numbered(ids, "old", "at").select("old", F.col("at").cast("double").alias("new"))
     met = labels.df.join(numbers, F.col("v") == F.col("old"))
     return Grid(met.select(*labels.names, F.col("new").alias("v")), labels.axes, labels.kind)
 
@@ -184,19 +177,6 @@ def fft(g: Grid, axis: int, inverse: bool = False, rescale: bool = True) -> Grid
     return Grid(grouped.applyInPandas(run, schema), g.axes, "double", "fft")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed to the cluster's shared folder (one of its own only where none is set and all runs on this machine)."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def probe(g: Grid, points: DataFrame, kernel: str = "tent", derivative: str | None = None, rule: str = "bleed") -> DataFrame:
     """Values (and gradients) of a grid at points (p, x0, x1, ...) in index space: each point's neighbourhood is
     gathered by a join on coordinates and summed with separable weights."""
