@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm import neardup, packing, quality, toxicity
-from loomgrid.llm._spark import cut
+from loomgrid.llm._spark import cut, discard, small
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,19 +35,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return _kept(docs, "doc_id")
     # rows that share an id are told apart by their text, with keys over all ids that are likely
     own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    keyed = docs.join(_small(again), docs["doc_id"] == again["__again"], "left").withColumn("__key", F.when(F.col("__again").isNull(), F.col("doc_id").cast("long")).otherwise(own))
+    keyed = docs.join(small(again), docs["doc_id"] == again["__again"], "left").withColumn("__key", F.when(F.col("__again").isNull(), F.col("doc_id").cast("long")).otherwise(own))
     stay = _kept(cut(keyed), "__key")
-    return stay.filter("__again IS NULL").union(stay.filter("__again IS NOT NULL").dropDuplicates(["__key"])).select(docs.columns)
+    # rows alike in id and text: the least by the other columns
+    first = stay.filter("__again IS NOT NULL").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return stay.filter("__again IS NULL").select(docs.columns).union(first)
 
 
 def _kept(docs: DataFrame, key: str) -> DataFrame:
     gone = cut(neardup.near_duplicates(docs, key, k=5, percent=80).filter("NOT kept").select(F.col(key).alias("__gone")).distinct())
-    return docs.join(_small(gone), docs[key] == gone["__gone"], "left_anti")
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    """Broadcast if it is no more than the near-duplicate operator broadcasts, else left to a shuffle join."""
-    return F.broadcast(ids) if ids.count() <= neardup.BROADCAST_IDS else ids
+    return docs.join(small(gone), docs[key] == gone["__gone"], "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +67,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs)
+            discard(before)
     return docs

@@ -1,48 +1,37 @@
-"""Cutting lineage and connected components, on shared storage only."""
+"""Written tables and joins whose heavy keys are dealt over several tasks."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.core.lineage import components, cut, discard
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the cluster and read from there.
+#: Ids that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 400_000
+#: Rows of one key that one task should join.
+FAN = 1000
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and no folder was set on
-    the context (tests on one machine) is one made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+
+def small(ids: DataFrame) -> DataFrame:
+    """Broadcast if it has no more than ``BROADCAST_IDS`` rows (of a few longs), else left to a shuffle join."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of an edge; by alternating large and small stars.
+def dealt_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join where a key may have very many rows in ``left`` and few in ``right``.
 
-    Each round is an aggregation of minima (combined before the shuffle) and a join back, so a node with very
-    many edges is never gathered anywhere; rounds grow with the logarithm of the longest path.
+    Keys with over ``FAN`` rows are dealt: their rows on the left by a hash, those on the right to each share.
     """
-    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    stamp = None
-    while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = cut(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == stamp:
-            break
-        stamp = now
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    heavy = cut(left.groupBy(key).count().filter(F.col("count") > FAN).select(key, F.ceil(F.col("count") / FAN).cast("int").alias("__shares")))
+    if heavy.isEmpty():
+        discard(heavy)
+        return left.join(right, key)
+    shares = small(heavy)
+    others = [c for c in left.columns if c != key]
+    a = left.join(shares, key, "left").withColumn("__share", F.expr(f"pmod(xxhash64({', '.join(others)}), coalesce(__shares, 1))")).drop("__shares")
+    b = right.join(shares, key, "left").withColumn("__share", F.expr("explode(sequence(0L, coalesce(__shares, 1) - 1L))")).drop("__shares")
+    return a.join(b, [key, "__share"]).drop("__share")
+
+
+__all__ = ["BROADCAST_IDS", "components", "cut", "dealt_join", "discard", "small"]

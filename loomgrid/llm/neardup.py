@@ -1,28 +1,37 @@
 """Near-duplicate documents from bottom-k sketches of one hash function.
 
-A text's set is its distinct word shingles, as 64-bit hashes; its sketch is the ``RETAINED`` smallest of them.
+A text's set is its distinct word shingles, as 64-bit hashes; its sketch is the k smallest of them, ``RETAINED``
+at first.
 
 1. Equal sets (by size and two 64-bit digests of the whole set) form a class; one representative goes on.
-2. Inverted lists of the ``LISTED`` smallest values of each representative generate overlaps.  First every
-   member of a list meets only the list's leader (the class with most copies), then ``LEADERS`` others: a group
-   of n near copies costs a few n pairs, not n squared.  Verified links merge into components.
-3. Lists that still hold several components then give every pair of representatives of *different*
-   components.  In a list of more than ``CROWD`` components (a passage that many unlike texts share) only those
-   pairs are formed of which a text is tight; representatives with such a list are listed by all retained values
-   first, and are tight if fewer than ``FREE`` of these are in less crowded lists.  If the passage is the share c
-   of the union of two texts of Jaccard 0.8, a free value is shared with the chance (0.8 - c) / (1 - c), not 0.8;
-   so a pair that isn't tight is missed with 0.4**16 at c = 0.5 and 0.5**16 at c = 0.6, where few have 16 free.
-4. Pairs must agree in size and in two digests that are compared where lists meet: the parity digest of the whole
-   set, in which two sets differ in at most as many bits as the sets do in members (so no link is lost), and a
-   bit map of the sketch.  They are then filtered by the Jaccard of the union sketch (at ``ESTIMATE``, far below the threshold, five
-   standard deviations for 32 values), then verified on the full sets.
-
-Pairs inside one component need no verification: they can't change it.  Nothing is capped or sampled.
+2. Leaders: every representative meets, in the inverted lists of its ``LED`` smallest values, only the leader of
+   the list (the class with most copies), and then ``LEADERS`` others.  So a group of n near copies costs a few n
+   pairs, not n squared.  Verified links merge into components; this is only a head start, and loses nothing.
+3. Inverted lists of all retained values that occur in several components.  Two sketches of a link have at
+   least c common values (``least_common``), so that, with the values of each sketch ordered by the number of
+   components in their list, the rarest ``all - c + 1`` of both must have one in common.  Only these are listed,
+   and of a text with fewer than c such values none.  Every pair of representatives of *different* components
+   that meet in a list is a candidate.
+4. A list of more than ``CROWD`` components is a passage that many unlike texts share.  A text that still lists
+   such a value after step 3 consists of it for the greater part; these texts go through step 3 once more among
+   themselves with sketches ``FINER`` times as large, where c is a greater share, until the sketches are the whole
+   sets and c is exact.  What then still meets in a crowded list has all but a fifth of its shingles there, and
+   every pair is formed.
+5. Candidates must agree in size and in two digests that are compared where lists meet: the parity digest of the
+   whole set, in which two sets differ in at most as many bits as the sets do in members (so no link is lost),
+   and a bit map of the sketch.  They are then filtered by the Jaccard of the union sketch, then verified on the
+   full sets.
+
+Whole sets are treated exactly.  Where a sketch is a sample, ``DEVIATIONS`` standard deviations are allowed for: a
+link at the threshold itself is missed in step 3 with a chance of about 1e-6, and again in step 5; nothing is
+capped or sampled, and nothing depends on what the shared passage is.
+
+Pairs inside one component need no verification: they can't change it.
 
 Defined cases: null, empty and wordless texts have the empty set and are linked with nothing; a text of fewer
-words than a shingle is one shingle; rows that share an id are one node; rows with a null id are linked with
-nothing and have a null component; ties go to the smaller id; an empty table gives an empty result; other
-columns are ignored, whatever their names.
+words than a shingle is one shingle; rows that share an id are one node, with the links of all their texts; rows
+with a null id are linked with nothing and have a null component; ties go to the smaller id; an empty table gives
+an empty result; other columns are ignored, whatever their names; ids must be integers.
 """
 
 from __future__ import annotations
@@ -33,21 +42,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgrid.llm import _text
-from loomgrid.llm._spark import components, cut
+from loomgrid.llm._spark import components, cut, dealt_join, discard, small
 
 RETAINED = 32
-LISTED = 12
+FINER = 4
+LED = 4
 LEADERS = 4
 CROWD = 64
+DEVIATIONS = 5
 #: Longs of the parity digest, and of the bit map of the sketch.
 PARITY = 16
 MAP = 2
-#: Ids of texts that are broadcast to the scan; more are joined by a shuffle.
-BROADCAST_IDS = 400_000
-FREE = 16
-ESTIMATE = 0.45
+MARKS = [f"d{i}" for i in range(PARITY + MAP)]
+
+
+def _sampled(size: str, percent: int) -> str:
+    """SQL: the common values to expect at least of ``size`` values drawn from a union with ``percent`` common."""
+    q = percent / 100
+    return f"greatest(1L, CAST(floor({q!r}D * {size} - {DEVIATIONS * (q * (1 - q)) ** 0.5!r}D * sqrt({size})) AS long))"
+
+
+def least_common(n: str, held: str, percent: int, k: int) -> str:
+    """SQL: the least number of common values in the sketches of a link, for a set of ``n`` of which ``held`` are retained.
+
+    A set so small that each set linked with it is retained whole as well has it exactly.
+    """
+    return f"CASE WHEN 100 * {n} <= {percent * k} THEN ({percent} * {n} + 99) DIV 100 ELSE {_sampled(held, percent)} END"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -83,8 +106,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n, f1, f2, sketch, digest): size, digests and bottom values of the set of each row."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame | None = None) -> DataFrame:
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"ids must be integers, not {docs.schema[id_col].dataType.simpleString()}")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return rows if ids is None else rows.join(small(ids), "id", "left_semi")
+
+
+def sketches(rows: DataFrame, k: int, retained: int = RETAINED) -> DataFrame:
+    """(id, n, f1, f2, sketch, digest): size, digests and bottom values of the set of each row of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,19 +125,18 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     n.append(len(s))
                     f1.append(np.sum(_text.mix(u + np.uint64(1)), dtype=np.uint64))
                     f2.append(np.sum(_text.mix(u ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
-                    low.append(s[:RETAINED])
+                    low.append(s[:retained])
                     marks.append(digest(s))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), _lists(low), _lists(marks)],
                     names=["id", "n", "f1", "f2", "sketch", "digest"],
                 )
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, sketch array<long>, digest array<long>")
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the texts whose id is in ``wanted``."""
+def full_sets(rows: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of each row of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,88 +144,147 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataF
                 sets = list(shingle_sets(data, offsets, k))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), _lists(sets)], names=["id", "shingles"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    ids = cut(wanted.select("id").distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return rows.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    return rows.mapInArrow(run, "id long, shingles array<long>")
+
+
+def _named(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*(c if c == "v" else F.col(c).alias(side if c == "rep" else f"{side}_{c}") for c in df.columns))
+
+
+def _near(percent: int) -> str:
+    """SQL: whether sizes and digests of ``a`` and ``b`` allow a link."""
+    # 100 i >= p u bounds the members in only one of the sets by (100 - p) / (100 + p) of the sum of sizes
+    apart = " + ".join(f"bit_count(a_{d} ^ b_{d})" for d in MARKS[:PARITY])
+    shared = " + ".join(f"bit_count(a_{d} & b_{d})" for d in MARKS[PARITY:])
+    larger = f"greatest({' + '.join(f'bit_count(a_{d})' for d in MARKS[PARITY:])}, {' + '.join(f'bit_count(b_{d})' for d in MARKS[PARITY:])})"
+    # the map has a bit for each value of a sketch of RETAINED, fewer where values fall on one
+    q = percent / 100
+    part = q - DEVIATIONS * (q * (1 - q) / RETAINED) ** 0.5
+    return f"""100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) AND {100 + percent} * ({apart}) <= {100 - percent} * (a_n + b_n)
+               AND {shared} >= {0.9 * part!r}D * {larger}"""
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    """The digest as columns, so that comparing two needs no loop."""
+    return df.select(*(c for c in df.columns if c != "digest"), *(F.get("digest", F.lit(i)).alias(d) for i, d in enumerate(MARKS)))
+
+
+class Search:
+    """Candidates and links among the rows of one table."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> None:
+        self.docs, self.id_col, self.text_col, self.k, self.percent = docs, id_col, text_col, k, percent
+        #: Whether some id has several rows.
+        self.repeats = False
+
+    def rows(self, ids: DataFrame | None = None) -> DataFrame:
+        rows = _rows(self.docs, self.id_col, self.text_col, ids)
+        return rows.dropDuplicates() if ids is not None and self.repeats else rows
+
+    def verified(self, pairs: DataFrame, held: DataFrame, retained: int) -> DataFrame:
+        """(a, b), written: the pairs that are links; ``held`` has (rep, sketch) of ``retained`` values."""
+        pairs = cut(pairs)
+        sketch = held.select("rep", "sketch")
+        one = dealt_join(pairs, sketch.toDF("a", "sa"), "a")
+        both = dealt_join(one, sketch.toDF("b", "sb"), "b").withColumn("low", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, retained))
+        enough = _sampled("size(low)", self.percent)
+        likely = cut(both.filter(f"size(array_intersect(low, array_intersect(sa, sb))) >= {enough}").select("a", "b").distinct())
+        discard(pairs)
+        wanted = cut(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct())
+        sets = cut(full_sets(self.rows(wanted), self.k))
+        one = dealt_join(likely, sets.toDF("a", "sa"), "a")
+        exact = dealt_join(one, sets.toDF("b", "sb"), "b")
+        links = cut(exact.withColumn("common", F.size(F.array_intersect("sa", "sb"))).filter(f"100 * common >= {self.percent} * (size(sa) + size(sb) - common)").select("a", "b").distinct())
+        discard(likely, wanted, sets)
+        return links
+
+    def meet_leaders(self, reps: DataFrame, leaders: DataFrame) -> DataFrame:
+        """Links of the representatives with the leaders (v, l: rep and component) of the lists they are in."""
+        postings = reps.select("rep", "component", F.explode(F.slice("sketch", 1, LED)).alias("v"))
+        of = _named(_marked(reps.select("rep", "n", "digest")), "b")
+        # a leader has few lists, so its digest meets them there and not at its many followers
+        led = cut(leaders.select("v", F.col("l.rep").alias("b"), F.col("l.component").alias("b_component")).join(of, "b"))
+        met = postings.select("v", F.col("rep").alias("a"), "component").join(led, "v").filter("a <> b AND component <> b_component").drop("v", "component", "b_component").distinct()
+        pairs = met.join(_named(_marked(reps.select("rep", "n", "digest")), "a"), "a").filter(_near(self.percent))
+        links = self.verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, RETAINED)
+        discard(led)
+        return links
+
+    def candidates(self, held: DataFrame, retained: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) of different components in one list, and the ids of texts to be compared by finer sketches.
+
+        ``held`` has (rep, f1, n, component, sketch, digest); both results read a written table, given third.
+        """
+        values = held.select("rep", "f1", "n", "component", F.size("sketch").cast("long").alias("held"), F.explode("sketch").alias("v"))
+        several = values.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("v")
+        shared = cut(values.join(several, "v", "left_semi"))
+        lists = shared.groupBy("v", "component").agg(F.lit(1).alias("one")).groupBy("v").agg(F.count("*").alias("in_list"))
+        ranked = shared.join(lists, "v").selectExpr(
+            "*", "row_number() OVER (PARTITION BY rep, f1 ORDER BY in_list, v) AS place", "count(*) OVER (PARTITION BY rep, f1) AS n_shared"
+        )
+        # all - c + 1 of the rarest, of which those that are in no other component come first and needn't be listed
+        listed = cut(ranked.filter(f"place <= n_shared - ({least_common('n', 'held', self.percent, retained)}) + 1").select("v", "rep", "f1", "n", "component", (F.col("in_list") > CROWD).alias("crowded")))
+        discard(shared)
+        digests = _marked(held.select("rep", "f1", "digest"))
+        final = f"NOT crowded OR 100 * n <= {self.percent * retained}"
+        side = listed.filter(final).join(digests, ["rep", "f1"]).drop("f1", "crowded")
+        met = _named(side, "a").join(_named(side, "b"), "v").filter(f"a < b AND a_component <> b_component AND {_near(self.percent)}")
+        finer = listed.filter(f"crowded AND 10000 * n > {self.percent * self.percent * retained}").select(F.col("rep").alias("id")).distinct()
+        return met.select("a", "b").distinct(), finer, listed
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row; links are pairs with 100 * intersection >= percent * union."""
-    base = cut(sketches(docs, id_col, text_col, k))
+    search = Search(docs, id_col, text_col, k, percent)
+    base = cut(sketches(search.rows(), k))
     full = base.filter("n > 0 AND id IS NOT NULL")
-    reps = cut(
-        full.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("digest").alias("digest"))
-    )
-    postings = reps.select("rep", "n", "copies", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
-    marks = [f"d{i}" for i in range(PARITY + MAP)]
-    digests = reps.select("rep", *(F.get("digest", F.lit(i)).alias(d) for i, d in enumerate(marks)))
-    # 100 i >= p u bounds the members in only one of the sets by (100 - p) / (100 + p) of the sum of sizes
-    apart = " + ".join(f"bit_count(a_{d} ^ b_{d})" for d in marks[:PARITY])
-    shared = " + ".join(f"bit_count(a_{d} & b_{d})" for d in marks[PARITY:])
-    larger = f"greatest({' + '.join(f'bit_count(a_{d})' for d in marks[PARITY:])}, {' + '.join(f'bit_count(b_{d})' for d in marks[PARITY:])})"
-    near = f"""100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) AND {100 + percent} * ({apart}) <= {100 - percent} * (a_n + b_n)
-               AND {shared} >= {0.9 * ESTIMATE} * {larger}"""
-
-    def named(df: DataFrame, side: str) -> DataFrame:
-        return df.select(*(c if c == "v" else F.col(c).alias(side if c == "rep" else f"{side}_{c}") for c in df.columns))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs that are links."""
-        both = (
-            pairs.join(reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
-            .join(reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-            .withColumn("low", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, RETAINED))
-        )
-        likely = cut(both.filter(f"size(array_intersect(low, array_intersect(sa, sb))) >= {ESTIMATE} * size(low)").select("a", "b"))
-        wanted = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id")))
-        sets = cut(full_sets(docs, id_col, text_col, k, wanted))
-        exact = likely.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
-        return exact.withColumn("common", F.size(F.array_intersect("sa", "sb"))).filter(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b")
-
-    def with_components(merged: DataFrame, listed: DataFrame) -> DataFrame:
-        """(v, rep, n, component, in_list) of the lists that hold several components."""
-        placed = cut(
-            listed.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        )
-        lists = placed.groupBy("v", "component").count().groupBy("v").agg(F.count("*").alias("in_list")).filter("in_list > 1")
-        return placed.join(lists, "v")
-
-    leaders = postings.groupBy("v").agg(F.count("*").alias("c"), F.max(F.struct("copies", (-F.col("rep")).alias("r"))).alias("lead")).filter("c > 1")
-    star = postings.join(leaders, "v").select(F.col("rep").alias("a"), F.expr("-lead.r").alias("b")).filter("a <> b").distinct()
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        of = reps.select("rep", "n").join(digests, "rep")
-        return pairs.join(named(of, "a"), "a").join(named(of, "b"), "b").filter(near).select("a", "b")
-
-    links = cut(verified(checked(star)))
-    mixed = cut(with_components(components(links), postings))
-    others = mixed.groupBy("v").agg(*(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "v", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)))
-    again = (
-        mixed.select("v", "rep", "component").join(others, "v").select(F.col("rep").alias("a"), "component", F.explode(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l"))
-        .filter("component <> l.component").select(F.least("a", "l.rep").alias("a"), F.greatest("a", "l.rep").alias("b")).distinct()
-    )
-    links = cut(links.union(verified(checked(again))))
-
-    merged = cut(components(links))
-    crowding = cut(with_components(merged, postings).filter(F.col("in_list") > CROWD).select("rep").distinct())
-    further = reps.join(crowding, "rep", "left_semi").select("rep", "n", "copies", F.explode(F.slice("sketch", LISTED + 1, RETAINED)).alias("v"))
-    mixed = cut(with_components(merged, postings.union(further)).withColumn("crowded", F.col("in_list") > CROWD))
-    # Values in lists of one component or one text count as free: whatever is linked by them is merged already.
-    crowds = mixed.groupBy("rep").agg(F.count_if("crowded").alias("n_crowded")).filter("n_crowded > 0")
-    sizes = reps.join(crowding.withColumn("all", F.lit(True)), "rep", "left").select("rep", F.least(F.size("sketch"), F.when(F.col("all"), RETAINED).otherwise(LISTED)).alias("n_listed"))
-    tight = crowds.join(sizes, "rep").select("rep", (F.col("n_listed") - F.col("n_crowded") < FREE).alias("tight"))
-    side = cut(mixed.join(tight, "rep", "left").select("v", "rep", "n", "component", "crowded", F.coalesce("tight", F.lit(False)).alias("tight")))
-
-    def met(left: str, right: str, order: str) -> DataFrame:
-        a, b = (named(side.filter(x).select("v", "rep", "n", "component").join(digests, "rep"), y) for x, y in ((left, "a"), (right, "b")))
-        return a.join(b, "v").filter(f"{order} AND a_component <> b_component AND {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    pairs = met("NOT crowded", "NOT crowded", "a < b").union(met("crowded AND tight", "crowded", "a <> b")).distinct()
-    more = verified(pairs)
-    joined = components(links.union(more))
-    of_class = reps.select("n", "f1", "f2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
+    classes = cut(full.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("digest").alias("digest")))
+    # an id with several texts links their classes
+    again = cut(full.groupBy("id").agg(F.count("*").alias("c"), F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("c > 1").select("id", (F.col("lo") < F.col("hi")).alias("differ")))
+    search.repeats = not again.isEmpty()
+    of_again = full.select("id", "n", "f1", "f2").join(small(again.filter("differ")), "id", "left_semi")
+    found = [cut(of_again.join(classes, ["n", "f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct())]
+
+    def merged() -> DataFrame:
+        edges = found[0]
+        for more in found[1:]:
+            edges = edges.union(more)
+        return components(edges)
+
+    def placed(reps: DataFrame, joined: DataFrame) -> DataFrame:
+        return reps.drop("component").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    reps = cut(placed(classes, merged()))
+    postings = reps.select("rep", "copies", "component", F.explode(F.slice("sketch", 1, LED)).alias("v"))
+    lists = postings.groupBy("v").agg(F.count("*").alias("c"), F.max(F.struct("copies", (-F.col("rep")).alias("r"), "component")).alias("m")).filter("c > 1")
+    found.append(search.meet_leaders(reps, lists.select("v", F.struct((-F.col("m.r")).alias("rep"), "m.component").alias("l"))))
+
+    before, reps = reps, cut(placed(reps, merged()))
+    discard(before)
+    postings = reps.select("rep", "component", F.explode(F.slice("sketch", 1, LED)).alias("v"))
+    lists = postings.groupBy("v").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.array(*(F.min(F.struct(F.xxhash64("rep", "v", F.lit(i)).alias("h"), "rep", "component")) for i in range(LEADERS))).alias("m"),
+    ).filter("lo <> hi")
+    found.append(search.meet_leaders(reps, lists.select("v", F.explode(F.array_distinct(F.transform("m", lambda x: F.struct(x["rep"].alias("rep"), x["component"].alias("component"))))).alias("l"))))
+
+    before, reps = reps, cut(placed(reps, merged()))
+    discard(before)
+    held, retained = reps, RETAINED
+    while True:
+        pairs, finer, listed = search.candidates(held, retained)
+        found.append(search.verified(pairs, held, retained))
+        finer = cut(finer)
+        discard(listed, held)
+        joined = merged()
+        if finer.isEmpty():
+            break
+        retained *= FINER
+        sets = sketches(search.rows(finer), k, retained).withColumnRenamed("id", "rep")
+        held = cut(placed(sets, joined))
+        discard(finer, joined)
+
+    of_class = classes.select("n", "f1", "f2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     return (
         base.select("id", "n", "f1", "f2")
         .join(of_class, ["n", "f1", "f2"], "left")

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from loomgrid.llm import _spark, embedding, lm, neardup, toxicity
+from loomgrid.core.lineage import components
+from loomgrid.llm import embedding, lm, neardup, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,9 +36,9 @@ def roots(nodes, links):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
-    got = {r.node: r.component for r in _spark.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == roots({*range(41), 100, 101, 102}, edges)
-    assert _spark.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_near_duplicates(spark):

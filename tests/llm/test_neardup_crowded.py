@@ -1,29 +1,52 @@
-"""Near copies whose common part is mostly a passage that many unlike texts share."""
+"""Near copies whose common part is mostly a passage that many unlike texts share, and ids with several texts."""
 
-import numpy as np
+import random
+
+import pytest
 
 from loomgrid.llm import neardup
+from tests.llm.test_corpus import roots, words
+
 
+def brute(rows, percent=80):
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets.setdefault(i, []).append(frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)))
+    links = [
+        (a, b) for a in sets for b in sets if a < b
+        and any(100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b])
+    ]
+    return roots(set(sets), links), links
 
-def test_links_of_crowded_lists(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CROWD", 8)
+
+@pytest.mark.parametrize("crowd", [8, 64])
+def test_links_of_crowded_lists(spark, monkeypatch, crowd):
+    monkeypatch.setattr(neardup, "CROWD", crowd)
     monkeypatch.setattr(neardup, "LEADERS", 1)
-    passage = [f"q{i}" for i in range(63)]  # 60 shingles of four words
-
-    def text(i, j):  # 10 shared and 15 own shingles besides: 70 of 100, and 60 of 110 with any other text
-        return " ".join([*passage, *(f"s{i}_{k}" for k in range(10)), *(f"u{j}_{k}" for k in range(15))])
-
-    def listed(texts):
-        raw = [t.encode() for t in texts]
-        sets = neardup.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 4)
-        return [set(s[: neardup.LISTED].tolist()) for s in sets]
-
-    common = set(next(neardup.shingle_sets(np.frombuffer(" ".join(passage).encode(), np.uint8), np.array([0, len(" ".join(passage))]), 4)).tolist())
-    rows = [(j, text(i, j)) for i in range(0, 200, 2) for j in (i, i + 1)]
-    for i in range(1000, 13000, 2):  # of these, pairs that share listed values of the passage only, 6 free ones in one text and fewer in the other
-        a, b = listed([text(i, i), text(i, i + 1)])
-        if a & b and a & b <= common and (len(a - common) < 6) != (len(b - common) < 6):
-            rows += [(i, text(i, i)), (i + 1, text(i, i + 1))]
-    assert len(rows) > 210
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=70).collect()
-    assert {r.doc_id: r.component_id for r in got} == {j: j - j % 2 for j, _ in rows}
+    rng = random.Random(5)
+    passage = [f"q{i}" for i in range(400)]
+    rows = []
+    for i in range(0, 300, 2):  # the passage is from a third to seven eighths of each text
+        taken = passage[: rng.choice([40, 100, 250, 400])]
+        n_own = int(len(taken) * rng.choice([0.15, 0.2, 0.3, 0.5, 1, 2]))
+        own = [f"s{i}_{k}" for k in range(n_own)]
+        changed = own[: max(0, n_own - rng.randrange(1, 2 + len(taken) // 4))]
+        rows += [(i, " ".join(taken + own)), (i + 1, " ".join(taken + changed + [f"t{i}"]))]
+    want, links = brute(rows)
+    assert len(links) > 50 and len(set(want.values())) > 80
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_an_id_with_several_texts_is_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, b), (9, c), (12, c.replace("c59", "other")), (20, "one text of its own")] + [(30, a + " x " + b)] * 50
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == {3: 3, 5: 3, 9: 3, 12: 3, 20: 20, 30: 30}
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
