@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from weakref import WeakKeyDictionary
@@ -17,6 +18,10 @@ from pyspark.sql.window import Window
 #: Edges whose components one task finds.
 EDGES = 1_000_000
 
+#: Seconds from one collection of the driver's garbage to the next.
+FREE_EVERY = 3.0
+
+_freed = -FREE_EVERY
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -59,8 +64,10 @@ def discard(*tables: DataFrame) -> None:
             spark = df.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    if spark is not None:
+    global _freed
+    if spark is not None and time.monotonic() > _freed + FREE_EVERY:
         spark._jvm.System.gc()  # shuffle files go once their plans are garbage on the driver
+        _freed = time.monotonic()
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +94,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", block: int = EDGES)
     (combined before the shuffle) and a join back, so a node with very many edges is never gathered anywhere, and
     rounds grow with the logarithm of the longest path.  No more than that are one task's work.
     """
-    e = cut(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u <> v").distinct())
+    e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     n, stamp = e.count(), None
+    if n > block:
+        e = cut(e.filter("u <> v").distinct())
     while n > block:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -115,7 +124,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", block: int = EDGES)
             for i in range(0, len(nodes), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(least[i : i + (1 << 16)])], names=["node", "component"])
 
-    out = cut(e.repartition(1).mapInArrow(run, "node long, component long"))
+    out = cut(e.filter("u <> v").repartition(1).mapInArrow(run, "node long, component long"))
     discard(e)
     return out
 
