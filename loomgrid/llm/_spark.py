@@ -18,20 +18,29 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def dealt_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join where a key may have very many rows in ``left`` and few in ``right``.
-
-    Keys with over ``FAN`` rows are dealt: their rows on the left by a hash, those on the right to each share.
-    """
-    heavy = cut(left.groupBy(key).count().filter(F.col("count") > FAN).select(key, F.ceil(F.col("count") / FAN).cast("int").alias("__shares")))
+def shares(pairs: DataFrame) -> DataFrame | None:
+    """(side, id, shares), written: how many tasks join the rows of an id that ``pairs`` (a, b, written) has over ``FAN`` times on a side."""
+    if pairs.count() <= FAN:
+        return None
+    ends = pairs.select(F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("id")) for s in ("a", "b")))).alias("e")).select("e.*")
+    heavy = cut(ends.groupBy("side", "id").count().filter(F.col("count") > FAN).select("side", "id", F.ceil(F.col("count") / FAN).alias("shares")))
     if heavy.isEmpty():
         discard(heavy)
-        return left.join(right, key)
-    shares = small(heavy)
-    others = [c for c in left.columns if c != key]
-    a = left.join(shares, key, "left").withColumn("__share", F.expr(f"pmod(xxhash64({', '.join(others)}), coalesce(__shares, 1))")).drop("__shares")
-    b = right.join(shares, key, "left").withColumn("__share", F.expr("explode(sequence(0L, coalesce(__shares, 1) - 1L))")).drop("__shares")
-    return a.join(b, [key, "__share"]).drop("__share")
+        return None
+    return heavy
+
+
+def dealt_join(pairs: DataFrame, side: str, right: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """``pairs`` with the columns of ``right`` whose id, of the same name, is that on ``side``; heavy ids are dealt.
+
+    Their rows in ``pairs`` are dealt by a hash, and those in ``right`` (few an id) go to each share.
+    """
+    if heavy is None:
+        return pairs.join(right, side)
+    own = small(heavy.filter(F.col("side") == side).select(F.col("id").alias(side), "shares"))
+    left = pairs.join(own, side, "left").withColumn("__share", F.expr("pmod(xxhash64(a, b), coalesce(shares, 1L))")).drop("shares")
+    fanned = right.join(own, side, "left").withColumn("__share", F.expr("explode(sequence(0L, coalesce(shares, 1L) - 1L))")).drop("shares")
+    return left.join(fanned, [side, "__share"]).drop("__share")
 
 
-__all__ = ["BROADCAST_IDS", "components", "cut", "dealt_join", "discard", "small"]
+__all__ = ["BROADCAST_IDS", "components", "cut", "dealt_join", "discard", "shares", "small"]

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgrid.llm import _text
-from loomgrid.llm._spark import components, cut, dealt_join, discard, small
+from loomgrid.llm._spark import components, cut, dealt_join, discard, shares, small
 
 RETAINED = 32
 FINER = 4
@@ -184,18 +184,20 @@ class Search:
     def verified(self, pairs: DataFrame, held: DataFrame, retained: int) -> DataFrame:
         """(a, b), written: the pairs that are links; ``held`` has (rep, sketch) of ``retained`` values."""
         pairs = cut(pairs)
+        if pairs.isEmpty():
+            return pairs
+        heavy = shares(pairs)
         sketch = held.select("rep", "sketch")
-        one = dealt_join(pairs, sketch.toDF("a", "sa"), "a")
-        both = dealt_join(one, sketch.toDF("b", "sb"), "b").withColumn("low", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, retained))
+        one = dealt_join(pairs, "a", sketch.toDF("a", "sa"), heavy)
+        both = dealt_join(one, "b", sketch.toDF("b", "sb"), heavy).withColumn("low", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, retained))
         enough = _sampled("size(low)", self.percent)
         likely = cut(both.filter(f"size(array_intersect(low, array_intersect(sa, sb))) >= {enough}").select("a", "b").distinct())
-        discard(pairs)
-        wanted = cut(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct())
+        wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = cut(full_sets(self.rows(wanted), self.k))
-        one = dealt_join(likely, sets.toDF("a", "sa"), "a")
-        exact = dealt_join(one, sets.toDF("b", "sb"), "b")
+        one = dealt_join(likely, "a", sets.toDF("a", "sa"), heavy)
+        exact = dealt_join(one, "b", sets.toDF("b", "sb"), heavy)
         links = cut(exact.withColumn("common", F.size(F.array_intersect("sa", "sb"))).filter(f"100 * common >= {self.percent} * (size(sa) + size(sb) - common)").select("a", "b").distinct())
-        discard(likely, wanted, sets)
+        discard(pairs, likely, sets, *([heavy] if heavy is not None else []))
         return links
 
     def meet_leaders(self, reps: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -242,10 +244,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # an id with several texts links their classes
     again = cut(full.groupBy("id").agg(F.count("*").alias("c"), F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("c > 1").select("id", (F.col("lo") < F.col("hi")).alias("differ")))
     search.repeats = not again.isEmpty()
-    of_again = full.select("id", "n", "f1", "f2").join(small(again.filter("differ")), "id", "left_semi")
-    found = [cut(of_again.join(classes, ["n", "f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct())]
+    found = []
+    if search.repeats:
+        of_again = full.select("id", "n", "f1", "f2").join(small(again.filter("differ")), "id", "left_semi")
+        found.append(cut(of_again.join(classes, ["n", "f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()))
 
     def merged() -> DataFrame:
+        """(node, component) by the links found so far."""
         edges = found[0]
         for more in found[1:]:
             edges = edges.union(more)
@@ -254,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def placed(reps: DataFrame, joined: DataFrame) -> DataFrame:
         return reps.drop("component").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-    reps = cut(placed(classes, merged()))
+    reps = cut(placed(classes, merged())) if found else classes.withColumn("component", F.col("rep"))
     postings = reps.select("rep", "copies", "component", F.explode(F.slice("sketch", 1, LED)).alias("v"))
     lists = postings.groupBy("v").agg(F.count("*").alias("c"), F.max(F.struct("copies", (-F.col("rep")).alias("r"), "component")).alias("m")).filter("c > 1")
     found.append(search.meet_leaders(reps, lists.select("v", F.struct((-F.col("m.r")).alias("rep"), "m.component").alias("l"))))
