@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import ctypes.util
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,6 +75,24 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def releasing(run: Run) -> Run:
+    """``run``, which gives freed memory back to the system when it ends: workers live on for tasks of other stages."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return outer
+
+
 def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the first text, bytes, offsets) of successive runs of whole texts; nulls are empty."""
     parts = texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]

@@ -4,7 +4,7 @@ Distinct pre-tokens of a chunk of texts that aren't known yet are laid out as ma
 length and padded.  In each round every row merges its leftmost pair of least rank (``argmin`` gives the
 leftmost), rows without a pair leave, and the matrix is compacted to one column less.  Ranks of pairs come
 from an open-addressing hash table in numpy arrays.  Pre-tokens longer than ``LONG`` bytes use a heap over a
-linked list instead (the same merges, n log n steps).  Known pre-tokens are kept per worker up to
+linked list instead (the same merges): rounds cost the square of the length, a heap n log n steps.  Known pre-tokens are kept per worker up to
 ``KNOWN`` entries and then dropped, so memory is bounded whatever the vocabulary of the corpus.
 
 Row-local: no shuffle.  Defined cases: null and empty texts give no ids and decode to no bytes; repeated rows
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from loomgrid.llm import _text
 
 #: Pre-tokens of more bytes are merged with a heap.
-LONG = 192
+LONG = 512
 #: Pre-tokens that a worker remembers.
-KNOWN = 700_000
+KNOWN = 100_000
+#: Bytes of text whose pre-tokens are held at once.
+CHUNK_BYTES = 512 << 10
 #: Bytes of one matrix.
 MATRIX = 1 << 20
 NO_RANK = np.int32(2**31 - 1)
@@ -299,7 +301,7 @@ def encoder(path: str, pattern: str, kind: str) -> Encoder:
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
     column = batch.column(1)
-    for at, _, offsets in _text.chunks(column):
+    for at, _, offsets in _text.chunks(column, CHUNK_BYTES):
         yield at, column.slice(at, len(offsets) - 1).to_pylist()
 
 
@@ -317,7 +319,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 ids, offsets = own.encode(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], names=[id_col, "ids"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {_id_type(docs, id_col)}, ids array<int>")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_text.releasing(run), f"`{id_col}` {_id_type(docs, id_col)}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", kind: str = "ranks") -> DataFrame:
@@ -332,7 +334,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=[id_col, "data"])
 
-    return encoded.select(F.col(f"`{id_col}`"), "ids").mapInArrow(run, f"`{id_col}` {_id_type(encoded, id_col)}, data binary")
+    return encoded.select(F.col(f"`{id_col}`"), "ids").mapInArrow(_text.releasing(run), f"`{id_col}` {_id_type(encoded, id_col)}, data binary")
 
 
 def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "ranks") -> DataFrame:
@@ -356,4 +358,4 @@ def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {_id_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_text.releasing(run), f"`{id_col}` {_id_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm import _text
 from loomgrid.llm._spark import components, cut
 
 SAMPLE = 8192
@@ -181,7 +182,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     kind = reps.schema["label"].dataType.simpleString()
     element = reps.schema["embedding"].dataType.simpleString()
     placed = cut(
-        regular.select("label", "embedding", "rep", "copies").mapInArrow(assign, f"label {kind}, embedding {element}, rep long, copies long, cell int, visits array<int>")
+        regular.select("label", "embedding", "rep", "copies").mapInArrow(_text.releasing(assign), f"label {kind}, embedding {element}, rep long, copies long, cell int, visits array<int>")
     )
     members = placed.select("label", "cell", "rep", "copies", "embedding")
     visitors = placed.select("label", F.explode("visits").alias("cell"), "rep", "copies", "embedding")

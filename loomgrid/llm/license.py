@@ -4,15 +4,15 @@ Every rolling word k-gram of every text is hashed and joined to the places it ha
 templates.  A match at word ``pos`` of the text and ``tpos`` of the template votes for the diagonal
 ``pos - tpos``.  Votes are summed per (document, template, diagonal) as a bit mask over the template's
 grams, neighbouring diagonals are merged (a word put in or left out shifts the rest of a license), and a
-span stands when enough of its template's grams voted and its words lie close together.  The join also
-compares the words themselves, so a hash collision never votes.
+span stands when enough of its template's grams voted and its words lie close together.  Where so many
+diagonals lie side by side that the words merged don't lie close together, each stretch of ``REACH`` diagonals is
+verified by itself.  The join also compares the words themselves, so a hash collision never votes.
 
 The templates are a fixed list in code (checked against ``MAX_GRAMS``), which bounds what is broadcast.
-Everything after the join is keyed by document, so a hot source or phrase loads no single task.
+Everything after the join is keyed by row, so a hot source or phrase loads no single task.
 
-Defined cases: a null or empty text has no words and no labels; rows that share a ``doc_id`` (repeats,
-null ids) count as one document, for which places are united and the larger word count is given; an empty
-table gives an empty result; other columns are ignored, whatever their names.
+Defined cases: a null or empty text has no words and no labels; each row is a document of its own, also where
+ids repeat or are null; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 #: Grams of a template: one bit each in a long.
 MAX_GRAMS = 62
 K = 2
+#: Diagonals that one span may take up where many lie close together.
+REACH = 6
 
 
 @dataclass(frozen=True)
@@ -91,15 +93,15 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> Data
 
 
 def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """(id, t, start, end, share): the verified spans of template number ``t``, and one row with t = -1 and ``end`` = words of the text."""
-    words = docs.select(F.col(f"`{id_col}`").alias("id"), words_column(F.col(f"`{text_col}`")).alias("w"))
-    rolled = words.select("id", F.posexplode_outer(F.expr("arrays_zip(w, slice(w, 2, size(w)))")).alias("pos", "z"))
-    grams = rolled.select("id", "pos", F.col("z").getField("w").alias("a"), F.col("z").getField("1").alias("b"))
+    """(row, id, t, start, end, share): the verified spans of template number ``t``, and one row with t = -1 and ``end`` = words of the text."""
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), words_column(F.col(f"`{text_col}`")).alias("w"))
+    rolled = words.select("row", "id", F.posexplode_outer(F.expr("arrays_zip(w, slice(w, 2, size(w)))")).alias("pos", "z"))
+    grams = rolled.select("row", "id", "pos", F.col("z").getField("w").alias("a"), F.col("z").getField("1").alias("b"))
     places = F.broadcast(template_grams(docs.sparkSession, templates))
     # The last word of a text (the only row without a second word) stays whatever it matches: it carries the count.
     hit = (F.xxhash64("a", "b") == places["g"]) & (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb"))
     votes = grams.join(places, hit, "left").filter("t IS NOT NULL OR b IS NULL").select(
-        "id",
+        "row", "id",
         F.expr("coalesce(t, -1)").alias("t"),
         F.expr("coalesce(pos - tpos, 0)").alias("diagonal"),
         F.expr("coalesce(pos, -1)").cast("long").alias("lo"),
@@ -107,20 +109,26 @@ def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.expr("shiftleft(1L, coalesce(tpos, 0))").alias("bits"),
         "grams", "need", "band",
     )
-    by_document = votes.repartition(F.col("id"))
-    diagonals = by_document.groupBy("id", "t", "diagonal").agg(
+    by_document = votes.repartition(F.col("row"))
+    diagonals = by_document.groupBy("row", "id", "t", "diagonal").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_or("bits").alias("bits"),
         F.first("grams").alias("grams"), F.first("need").alias("need"), F.first("band").alias("band"),
     )
-    along = Window.partitionBy("id", "t").orderBy("diagonal")
-    opened = diagonals.withColumn("opens", F.expr("CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY id, t ORDER BY diagonal) <= band THEN 0 ELSE 1 END"))
-    merged = opened.withColumn("island", F.sum("opens").over(along)).groupBy("id", "t", "island").agg(
-        F.min("lo").alias("start"), F.max("hi").alias("end"), F.bit_or("bits").alias("bits"),
-        F.first("grams").alias("grams"), F.first("need").alias("need"),
-    )
-    return merged.withColumn("share", F.expr("bit_count(bits) / CAST(grams AS double)")).filter(
-        "t = -1 OR (share >= need AND end - start <= 2 * (grams + 1))"
-    ).select("id", "t", "start", "end", "share")
+    along = Window.partitionBy("row", "t").orderBy("diagonal")
+    ahead, around = along.rangeBetween(0, REACH), along.rangeBetween(-REACH, REACH)
+    opens = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= F.col("band"), 0).otherwise(1)
+    marked = diagonals.withColumn("opens", opens)
+    marked = marked.withColumn("island", F.sum("opens").over(along)).withColumn("w_bits", F.bit_or("bits").over(ahead)).withColumn("w_lo", F.min("lo").over(ahead)).withColumn("w_hi", F.max("hi").over(ahead))
+    marked = marked.withColumn("w_best", F.max(F.struct(F.bit_count("w_bits"), -F.col("diagonal"))).over(around))
+    island = Window.partitionBy("row", "t", "island")
+    whole = marked.withColumn("start", F.min("lo").over(island)).withColumn("end", F.max("hi").over(island)).withColumn("all_bits", F.bit_or("bits").over(island))
+    # an island is one span, unless it is too long; then each stretch of diagonals within REACH is verified by itself
+    short = "t = -1 OR end - start <= 2 * (grams + 1)"
+    return whole.selectExpr(
+        "row", "id", "t", f"{short} AS short", "opens", "w_best.col2 = -diagonal AS best", "need",
+        f"CASE WHEN {short} THEN start ELSE w_lo END AS start", f"CASE WHEN {short} THEN end ELSE w_hi END AS end",
+        f"bit_count(CASE WHEN {short} THEN all_bits ELSE w_bits END) / CAST(grams AS double) AS share",
+    ).filter("t = -1 OR (share >= need AND CASE WHEN short THEN opens = 1 ELSE best END)").select("row", "id", "t", "start", "end", "share")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple[Template, ...] = NOTICES) -> DataFrame:
@@ -130,7 +138,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_base = len(BASE)
     label = "element_at(array({}), t + 1)".format(", ".join(f"'{x.label}'" for x in templates))
     base, any_ = f"t BETWEEN 0 AND {n_base - 1}", "t >= 0"
-    return spans.groupBy("id").agg(
+    return spans.groupBy("row", "id").agg(
         F.expr("max(CASE WHEN t = -1 THEN end END)").alias("n_words"),
         F.expr(f"count_if({base})").alias("n_base"),
         F.expr(f"min(CASE WHEN {base} THEN start END)").alias("first_word"),
@@ -138,4 +146,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.expr(f"array_join(sort_array(collect_set(CASE WHEN {base} THEN {label} END)), ',')").alias("base_labels"),
         F.expr(f"array_join(sort_array(collect_set(CASE WHEN {any_} THEN {label} END)), ',')").alias("labels"),
         F.expr(f"coalesce(max(CASE WHEN {any_} THEN share END), 0D)").alias("score"),
-    ).withColumnRenamed("id", id_col)
+    ).drop("row").withColumnRenamed("id", id_col)

@@ -155,7 +155,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if len(keys):
             yield out()
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(_text.releasing(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def train(docs: DataFrame, own: np.ndarray) -> np.ndarray:
@@ -190,7 +190,7 @@ def train(docs: DataFrame, own: np.ndarray) -> np.ndarray:
             return pa.table([table.column("part")[:1], table.column("grp")[:1], pa.array([int(n.sum())]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "grp", "n", "change"])
 
         kind = "part int, grp int, n long, change binary"
-        changes = docs.filter(F.pmod(F.col("fold"), F.lit(ROUNDS)) == r).select("text").mapInArrow(run, kind)
+        changes = docs.filter(F.pmod(F.col("fold"), F.lit(ROUNDS)) == r).select("text").mapInArrow(_text.releasing(run), kind)
         meaned = changes.groupBy("part", "grp").applyInArrow(mean, kind).groupBy("part").applyInArrow(mean, kind)
         for row in meaned.collect():  # PARTS rows of a fixed size
             at = row["part"] * size
@@ -255,7 +255,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     kind = docs.schema[id_col].dataType.simpleString()
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "id", (F.pmod("crc", F.lit(folds)) == held).alias("held_out"), "text")
-    partial = cut(numbered.mapInArrow(run, f"rid long, id {kind}, held_out boolean, n_tokens long, n_head long, base double, scored double, tail array<long>"))
+    partial = cut(numbered.mapInArrow(_text.releasing(run), f"rid long, id {kind}, held_out boolean, n_tokens long, n_head long, base double, scored double, tail array<long>"))
     # A tail word's terms are sums of log10(c + 1) in both scores; all else is known in the first pass.
     tail = partial.select("rid", F.explode("tail").alias("h"))
     met = tail.join(counts, "h").groupBy("rid").agg(F.count("*").alias("n_tail"), F.sum(F.log10(F.col("c") + 1)).alias("more"))

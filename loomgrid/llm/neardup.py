@@ -132,7 +132,7 @@ def sketches(rows: DataFrame, k: int, retained: int = RETAINED) -> DataFrame:
                     names=["id", "n", "f1", "f2", "sketch", "digest"],
                 )
 
-    return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, sketch array<long>, digest array<long>")
+    return rows.mapInArrow(_text.releasing(run), "id long, n long, f1 long, f2 long, sketch array<long>, digest array<long>")
 
 
 def full_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -144,7 +144,7 @@ def full_sets(rows: DataFrame, k: int) -> DataFrame:
                 sets = list(shingle_sets(data, offsets, k))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), _lists(sets)], names=["id", "shingles"])
 
-    return rows.mapInArrow(run, "id long, shingles array<long>")
+    return rows.mapInArrow(_text.releasing(run), "id long, shingles array<long>")
 
 
 def _named(df: DataFrame, side: str) -> DataFrame:

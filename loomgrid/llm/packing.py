@@ -293,7 +293,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         end = np.array([end_id], np.uint32)
         for batch in batches:
             column = batch.column(1)
-            for at, _, offs in _text.chunks(column):
+            for at, _, offs in _text.chunks(column, bpe.CHUNK_BYTES):
                 ids, offsets = own.encode(column.slice(at, len(offs) - 1).to_pylist())
                 ids = ids.astype(np.uint32)
                 which, piece, start, length, crc = [], [], [], [], []
@@ -313,7 +313,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_text.releasing(run), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -340,7 +340,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(_text.releasing(place), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

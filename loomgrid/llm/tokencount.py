@@ -121,4 +121,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], names=[id_col, "n_pre_tokens", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, n_pre_tokens long, n_tokens long")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_text.releasing(run), f"`{id_col}` {kind}, n_pre_tokens long, n_tokens long")

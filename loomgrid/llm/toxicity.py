@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(range(len(df) + 1), pa.int32()), pa.array([*df.tolist(), n], pa.int64())], names=["t", "n"])
 
     df = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in rows.select("text").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # one row a term
+    for r in rows.select("text").mapInArrow(_text.releasing(count), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # one row a term
         df[r["t"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     # the share of toxic rows among all that may be examples, which the picked ones, as many of either label, don't show
@@ -208,7 +208,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     kinds = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
-    made = plain.mapInArrow(run, f"{kinds}, score double, predicted int, neighbours array<long>, cosines array<double>")
+    made = plain.mapInArrow(_text.releasing(run), f"{kinds}, score double, predicted int, neighbours array<long>, cosines array<double>")
     crc = F.crc32(F.coalesce(F.col(f"c{docs.columns.index(id_col)}").cast("string"), F.lit("")))
     names = [c for c in docs.columns if c != "__toxicity"]
     return made.select(

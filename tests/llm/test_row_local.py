@@ -182,3 +182,11 @@ def test_small_packings_are_optimal():
 def test_same_as_sql(spark, name):
     assert oracles
     compare(spark, queries.QUERIES[name], queries.ORACLES[name], SF)
+
+
+def test_licenses_of_repeated_ids_and_chained_diagonals(spark):
+    chained = "gnu lesser " * 8 + "gnu lesser general public license"
+    rows = [(1, chained), (None, "cc by"), (None, "apache license"), (7, "mit license"), (7, "x x mit license"), (8, None), (9, "word " * 200_000 + "mit license")]
+    got = [(r.doc_id, r.n_words, r.n_base, r.labels) for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(1, 21, 0, "lgpl"), (None, 2, 1, "cc-by"), (None, 2, 1, "apache"), (7, 2, 1, "mit"), (7, 4, 1, "mit"), (8, 0, 0, ""), (9, 200_002, 1, "mit")]
+    assert sorted(got, key=str) == sorted(want, key=str)
