@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid import kernel_queries
 from loomgrid.core.grid import Axis, Grid, from_table
 from loomgrid.functions.kernels import parse
 from loomgrid.operators import elementwise as E
@@ -436,3 +437,7 @@ def _tensor(name: str) -> Query:
 
 for _t in tensor.MEASURES:
     add(f"tensor_{_t.replace('-', '_')}", _tensor(_t), f"SELECT event_id, round({TENSOR_SQL[_t]}, 5) AS v FROM ({_TENSOR})" if _t in TENSOR_SQL else None)
+
+# -- kernels by family --------------------------------------------------------------------------------------------------
+QUERIES.update(kernel_queries.QUERIES)
+ORACLES.update(kernel_queries.ORACLES)
