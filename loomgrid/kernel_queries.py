@@ -52,7 +52,7 @@ def _septic(d: int) -> str:
         (-0.01860670194003527, 0.14022633744855967, -0.16296296296296298, -0.09825102880658436, 0.28858024691358025, -0.18858024691358025, 0.04405864197530864, -0.0013631687242798354),
         (0.003101116990005879, -0.014223251028806585, 0.02021604938271605, 0.003729423868312757, -0.0411522633744856, 0.04714506172839506, -0.023199588477366254, 0.004383450911228689),
     )
-    taylor = lambda knot, row: " + ".join(f"({c}) * {math.perm(k, d)} * pow(a - {knot}, {k - d})" for k, c in enumerate(row) if k >= d)
+    taylor = lambda knot, row: " + ".join(f"({c * math.perm(k, d)!r})::DOUBLE * pow(a - {knot}, {k - d})" for k, c in enumerate(row) if k >= d)
     return _pieces(*((knot + 1, taylor(knot, row)) for knot, row in enumerate(rows)), sign=d % 2 == 1)
 
 
