@@ -11,7 +11,7 @@ at first.
    least c common values (``least_common``), so that, with the values of each sketch ordered by the number of
    components in their list, the rarest ``all - c + 1`` of both must have one in common.  Only these are listed,
    and of a text with fewer than c such values none.  Every pair of representatives of *different* components
-   that meet in a list is a candidate.
+   that meet in a list is a candidate, in the first such list alone.
 4. A list of more than ``CROWD`` components is a passage that many unlike texts share.  A text that still lists
    such a value after step 3 consists of it for the greater part; these texts go through step 3 once more among
    themselves with sketches ``FINER`` times as large, where c is a greater share, until the sketches are the whole
@@ -218,19 +218,23 @@ class Search:
         ``held`` has (rep, f1, n, component, sketch, digest); both results read a written table, given third.
         """
         values = held.select("rep", "f1", "n", "component", F.size("sketch").cast("long").alias("held"), F.explode("sketch").alias("v"))
-        several = values.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("v")
-        shared = cut(values.join(several, "v", "left_semi"))
-        lists = shared.groupBy("v", "component").agg(F.lit(1).alias("one")).groupBy("v").agg(F.count("*").alias("in_list"))
-        ranked = shared.join(lists, "v").selectExpr(
+        # written, so that the join below is of two plain sides and a value that very many texts have can be split
+        lists = cut(values.select("v", "component").distinct().groupBy("v").agg(F.count("*").alias("in_list")).filter("in_list > 1"))
+        ranked = values.join(lists, "v").selectExpr(
             "*", "row_number() OVER (PARTITION BY rep, f1 ORDER BY in_list, v) AS place", "count(*) OVER (PARTITION BY rep, f1) AS n_shared"
         )
         # all - c + 1 of the rarest, of which those that are in no other component come first and needn't be listed
-        listed = cut(ranked.filter(f"place <= n_shared - ({least_common('n', 'held', self.percent, retained)}) + 1").select("v", "rep", "f1", "n", "component", (F.col("in_list") > CROWD).alias("crowded")))
-        discard(shared)
-        digests = _marked(held.select("rep", "f1", "digest"))
+        listed = cut(
+            ranked.filter(f"place <= n_shared - ({least_common('n', 'held', self.percent, retained)}) + 1")
+            .select("v", "place", "rep", "f1", "n", "component", (F.col("in_list") > CROWD).alias("crowded"))
+        )
+        discard(lists)
+        order = listed.groupBy("rep", "f1").agg(F.sort_array(F.collect_list(F.struct("place", "v"))).getField("v").alias("order"))
+        known = order.join(_marked(held.select("rep", "f1", "digest")), ["rep", "f1"])
         final = f"NOT crowded OR 100 * n <= {self.percent * retained}"
-        side = listed.filter(final).join(digests, ["rep", "f1"]).drop("f1", "crowded")
-        met = _named(side, "a").join(_named(side, "b"), "v").filter(f"a < b AND a_component <> b_component AND {_near(self.percent)}")
+        side = listed.filter(final).join(known, ["rep", "f1"]).withColumn("before", F.slice("order", F.lit(1), F.col("place") - 1)).drop("f1", "crowded", "order", "place")
+        # a pair is made where the rarest value that both list is, and nowhere else
+        met = _named(side, "a").join(_named(side, "b"), "v").filter(f"a < b AND a_component <> b_component AND {_near(self.percent)} AND NOT arrays_overlap(a_before, b_before)")
         finer = listed.filter(f"crowded AND 10000 * n > {self.percent * self.percent * retained}").select(F.col("rep").alias("id")).distinct()
         return met.select("a", "b").distinct(), finer, listed
 
