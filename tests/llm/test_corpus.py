@@ -75,9 +75,9 @@ def test_embeddings(spark):
     x[50:100] = x[:50] + 0.12 * rng.normal(size=(50, 16))
     x[100:110] = x[0]
     rows = [(i, [float(np.float32(v)) for v in r], i % 2 if i < 140 else None) for i, r in enumerate(x)]
-    rows += [(200, None, 0), (201, [0.0] * 16, 0), (202, [float("nan")] * 16, 0), (203, [None] * 16, 0), (204, [1.0, 2.0], 0), (205, [1.0, 2.0], 0), (206, [], 1)]
+    rows += [(200, None, 0), (201, [0.0] * 16, 0), (202, [float("nan")] * 16, 0), (203, [None] * 16, 0), (204, [1.0, 2.0], 0), (205, [1.0, 2.0], 0), (206, [], 1), (207, [2.0, 4.1], 0), (208, [3.0], 1), (209, [5.0], 1), (210, [-5.0], 1), (None, [5.0], 1), (211, [1.0, 0.0, 0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    good = [(i, np.array(v, np.float64), y) for i, v, y in rows if y is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    good = [(i, np.array(v, np.float64), y) for i, v, y in rows if i is not None and y is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     links = [(a[0], b[0]) for a in good for b in good if a[0] < b[0] and a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] / math.sqrt((a[1] @ a[1]) * (b[1] @ b[1])) >= 0.98]
     want, n = roots({r[0] for r in rows}, links), collections.Counter(x for p in links for x in p)
     got = embedding.near_duplicates(df).collect()
