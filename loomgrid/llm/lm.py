@@ -2,14 +2,19 @@
 
 The probability of a word is that of its class given the context, times that of the word in its class.  The
 class factor is a softmax over hashed features of the two words before (each alone, the farther one as a skip
-feature, and both together); the word factor is the smoothed share of the word in its class.  The ``OWN``
-most frequent tokens are classes of their own, all others are dealt over ``SHARED`` classes by hash.
+feature, both together, and the pair of their classes); the word factor is the smoothed share of the word in its
+class.  The ``OWN`` most frequent tokens are classes of their own; the others of the ``HEAD`` most frequent ones are
+dealt over ``GROUPS`` groups of words that occur in the same texts, and over ``BANDS`` bands of like weight, from
+frequent to rare words, in each; all rarer and unseen words form the last class.
 
 1. Counts of all training tokens: combined in each task, then summed by a shuffle on the word's hash.
-2. Training goes over all training texts, ``ROUNDS`` slices of them one after another.  Each task starts from
+2. Groups: the ``SEEDS`` most frequent tokens are clustered by the texts that they share; a text is of the group that
+   most of its seeds are of; a word is of the group whose texts it prefers.  Two passes, each of which sums a matrix
+   of fixed size over the tasks.
+3. Training goes over all training texts, ``ROUNDS`` slices of them one after another.  Each task starts from
    the common weights, takes gradient steps over its own texts, and gives its change; changes are averaged by
    their numbers of tokens, in two levels, so that no task gathers more than a few hundred of them.
-3. Scoring is done in sparse batches: weights are gathered by feature, never multiplied as dense matrices.
+4. Scoring is done in sparse batches: weights are gathered by feature, never multiplied as dense matrices.
    Counts of the ``HEAD`` most frequent words (a fixed bound) are broadcast; the rest of a text's words, each
    rare by construction, meet their counts in a shuffle join on the word.
 
@@ -32,9 +37,11 @@ from loomgrid.llm import _text
 from loomgrid.llm._spark import cut
 
 ROWS = 1 << 14
-OWN = 16
-SHARED = 16
-CLASSES = OWN + SHARED
+OWN = 7
+GROUPS = 6
+BANDS = 4
+CLASSES = OWN + GROUPS * BANDS + 1
+SEEDS = 128
 HEAD = 65_536
 ROUNDS = 2
 STEP = 0.25
@@ -53,9 +60,9 @@ class Model:
     """What scoring needs besides the tail of the counts; its size doesn't depend on the corpus."""
 
     weights: np.ndarray
-    own: np.ndarray
     head: np.ndarray
     head_counts: np.ndarray
+    head_class: np.ndarray
     class_tokens: np.ndarray
     class_words: np.ndarray
     tokens: int
@@ -75,29 +82,128 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, first
 
 
-def classes(h: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """``own`` is sorted; its tokens are classes 0 to OWN - 1."""
-    out = (h % np.uint64(SHARED)).astype(np.int64) + OWN
-    if len(own):
-        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-        out = np.where(own[at] == h, at, out)
+def head_classes(counts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Classes of the most frequent tokens, whose counts fall: OWN of their own, then in each group bands with like sums of counts."""
+    out = np.minimum(np.arange(len(counts)), OWN)
+    for g in range(GROUPS):
+        own = np.flatnonzero(group[OWN:] == g) + OWN
+        before = np.cumsum(counts[own]) - counts[own]
+        out[own] = OWN + g * BANDS + before * BANDS // max(1, int(counts[own].sum()))
     return out
 
 
-def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Weight rows of each token: bias, word before, skip to the word before that, both; row numbers below ROWS."""
+def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of (part, grp, data: doubles) over all tasks by part, in two levels; for few parts of a fixed size."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in table.column("data"))
+        return pa.table([table.column("part")[:1], table.column("grp")[:1], pa.array([total.tobytes()], pa.binary())], names=["part", "grp", "data"])
+
+    kind = "part int, grp int, data binary"
+    rows = parts.groupBy("part", "grp").applyInArrow(add, kind).groupBy("part").applyInArrow(add, kind)
+    return {r["part"]: np.frombuffer(r["data"]) for r in cut(rows).collect()}
+
+
+def _parts(matrix: np.ndarray) -> pa.RecordBatch:
+    from pyspark import TaskContext
+
+    group = TaskContext.get().partitionId() // FAN_IN
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(PARTS), pa.int32()), pa.array([group] * PARTS, pa.int32()), pa.array([x.astype(np.float64).tobytes() for x in np.array_split(matrix.ravel(), PARTS)], pa.binary())],
+        names=["part", "grp", "data"],
+    )
+
+
+def _whole(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    got = _summed(parts)
+    return np.concatenate([got[p] for p in range(PARTS)]).reshape(shape) if got else np.zeros(shape)
+
+
+def seed_groups(shared: np.ndarray) -> np.ndarray:
+    """Groups of the seeds by ``shared`` (texts that hold both): k-means on rows as directions, started from rows far apart."""
+    rows = shared / np.maximum(1, np.sqrt((shared**2).sum(1, keepdims=True)))
+    rows = rows - rows.mean(0)
+    rows /= np.maximum(1e-12, np.sqrt((rows**2).sum(1, keepdims=True)))
+    centers = rows[:1]
+    while len(centers) < min(GROUPS, len(rows)):
+        centers = np.concatenate([centers, rows[[(rows @ centers.T).max(1).argmin()]]])
+    for _ in range(20):
+        own = (rows @ centers.T).argmax(1)
+        made = np.stack([rows[own == g].sum(0) if (own == g).any() else c for g, c in enumerate(centers)])
+        centers = made / np.maximum(1e-12, np.sqrt((made**2).sum(1, keepdims=True)))
+    return (rows @ centers.T).argmax(1)
+
+
+def word_groups(docs: DataFrame, head: np.ndarray) -> np.ndarray:
+    """The group of each token of ``head`` (the most frequent first), from all rows of (text)."""
+    n_seeds = min(SEEDS, len(head))
+    order = np.argsort(head)
+    known = docs.sparkSession.sparkContext.broadcast((head[order], order))
+
+    def places(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, rank) of the tokens that are in the head."""
+        hashes, ranks = known.value
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hit = np.flatnonzero(hashes[at] == h)
+        return np.searchsorted(first, hit, "right") - 1, ranks[at[hit]]
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_seeds, n_seeds))
+        for batch in batches:
+            for _, data, offsets in _text.chunks(batch.column(0)):
+                h, first = tokens(data, offsets)
+                text, rank = places(h, first)
+                held = np.zeros((len(first) - 1, n_seeds), np.float32)
+                held[text[rank < n_seeds], rank[rank < n_seeds]] = 1
+                total += held.T @ held
+        yield _parts(total)
+
+    if n_seeds < 2:
+        return np.zeros(len(head), np.int64)
+    of_seed = seed_groups(_whole(docs.select("text").mapInArrow(_text.releasing(together), "part int, grp int, data binary"), (n_seeds, n_seeds)))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(head) * GROUPS)
+        for batch in batches:
+            for _, data, offsets in _text.chunks(batch.column(0)):
+                h, first = tokens(data, offsets)
+                text, rank = places(h, first)
+                seed = rank < n_seeds
+                of_text = np.bincount(text[seed] * GROUPS + of_seed[rank[seed]], minlength=(len(first) - 1) * GROUPS).reshape(-1, GROUPS)
+                some = of_text.any(1)[text]
+                total += np.bincount(rank[some] * GROUPS + of_text.argmax(1)[text[some]], minlength=len(total))
+        yield _parts(total)
+
+    cast = _whole(docs.select("text").mapInArrow(_text.releasing(votes), "part int, grp int, data binary"), (len(head), GROUPS))
+    return (cast / np.maximum(1, cast.sum(0))).argmax(1)
+
+
+def classes(h: np.ndarray, head: np.ndarray, head_class: np.ndarray) -> np.ndarray:
+    """The class of each token; ``head`` is sorted."""
+    if not len(head):
+        return np.full(len(h), CLASSES - 1)
+    at = np.minimum(np.searchsorted(head, h), len(head) - 1)
+    return np.where(head[at] == h, head_class[at], CLASSES - 1)
+
+
+def features(h: np.ndarray, first: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Weight rows of each token: the classes of the two words before, word before, skip to the word before that, both words."""
     begin = np.uint64(0x1234567)
     one, two = np.full(len(h), begin, np.uint64), np.full(len(h), begin, np.uint64)
-    one[1:], two[2:] = h[:-1], h[:-2]
+    c1, c2 = np.full(len(h), CLASSES), np.full(len(h), CLASSES)
+    one[1:], two[2:], c1[1:], c2[2:] = h[:-1], h[:-2], k[:-1], k[:-2]
     starts = first[:-1]
     one[starts] = two[starts] = begin
+    c1[starts] = c2[starts] = CLASSES
     second = starts[np.diff(first) > 1] + 1
-    two[second] = begin
-    rows = np.zeros((len(h), 4), np.int64)
-    mask = np.uint64(ROWS - 2)
-    rows[:, 1] = (_text.mix(one + np.uint64(1)) % mask).astype(np.int64) + 1
-    rows[:, 2] = (_text.mix(two + np.uint64(2)) % mask).astype(np.int64) + 1
-    rows[:, 3] = (_text.mix(one * np.uint64(3) + two) % mask).astype(np.int64) + 1
+    two[second], c2[second] = begin, CLASSES
+    rows = np.empty((len(h), 4), np.int64)
+    pairs = (CLASSES + 1) ** 2
+    words = np.uint64(ROWS - pairs)
+    rows[:, 0] = c1 * (CLASSES + 1) + c2
+    rows[:, 1] = (_text.mix(one + np.uint64(1)) % words).astype(np.int64) + pairs
+    rows[:, 2] = (_text.mix(two + np.uint64(2)) % words).astype(np.int64) + pairs
+    rows[:, 3] = (_text.mix(one * np.uint64(3) + two) % words).astype(np.int64) + pairs
     return rows
 
 
@@ -158,11 +264,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_text.releasing(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, own: np.ndarray) -> np.ndarray:
+def train(docs: DataFrame, head: np.ndarray, head_class: np.ndarray) -> np.ndarray:
     """Class weights from all rows of (fold, text); ``fold`` deals rows over rounds."""
     context = docs.sparkSession.sparkContext
     weights = np.zeros((ROWS, CLASSES), np.float32)
     size = ROWS // PARTS
+    known = context.broadcast((head, head_class))
     for r in range(ROUNDS):
         shared = context.broadcast(weights)
 
@@ -171,7 +278,8 @@ def train(docs: DataFrame, own: np.ndarray) -> np.ndarray:
             for batch in batches:
                 for _, data, offsets in _text.chunks(batch.column(0)):
                     h, first = tokens(data, offsets)
-                    gradient_steps(mine, features(h, first), classes(h, own))
+                    k = classes(h, *known.value)
+                    gradient_steps(mine, features(h, first, k), k)
                     n += len(h)
             if n:
                 from pyspark import TaskContext
@@ -205,21 +313,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), crc.alias("crc"))
     learned = rows.filter(F.pmod("crc", F.lit(folds)) != held).select("text", F.floor(F.col("crc") / folds).alias("fold"))
     counts = cut(word_counts(learned))
-    head = counts.orderBy(F.desc("c"), "h").limit(HEAD).collect()
+    # written before it is collected: HEAD rows go to the driver, not HEAD of each task
+    top = cut(counts.orderBy(F.desc("c"), "h").limit(HEAD))
+    head = sorted(top.collect(), key=lambda x: (-x["c"], x["h"]))
     head_h, head_c = np.array([x["h"] for x in head], np.int64).view(np.uint64), np.array([x["c"] for x in head], np.int64)
-    own = np.sort(head_h[:OWN])
-    n_of, v_of = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    # SHARED is a power of two, so the remainder of the unsigned hash is that of its low bits
-    for x in counts.groupBy(F.col("h").bitwiseAND(SHARED - 1).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-        n_of[OWN + x["k"]], v_of[OWN + x["k"]] = x["n"], x["v"]
-    n_all, v_all = int(n_of.sum()), int(v_of.sum())
-    own_class = classes(head_h[:OWN], own)
-    for k, c, low in zip(own_class.tolist(), head_c[:OWN].tolist(), (head_h[:OWN] % np.uint64(SHARED)).astype(int).tolist(), strict=True):
-        n_of[k], v_of[k] = c, 1
-        n_of[OWN + low] -= c
-        v_of[OWN + low] -= 1
+    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n_all, v_all = int(whole["n"]), int(whole["v"])
+    of_head = head_classes(head_c, word_groups(learned, head_h))
+    n_of = np.bincount(of_head, head_c, CLASSES).astype(np.int64)
+    v_of = np.bincount(of_head, minlength=CLASSES)
+    n_of[-1], v_of[-1] = n_all - n_of.sum(), v_all - v_of.sum()
     by_hash = np.argsort(head_h)
-    model = context.broadcast(Model(train(learned, own), own, head_h[by_hash], head_c[by_hash], n_of, v_of, n_all, v_all))
+    sorted_h, sorted_class = head_h[by_hash], of_head[by_hash]
+    model = context.broadcast(Model(train(learned, sorted_h, sorted_class), sorted_h, head_c[by_hash], sorted_class, n_of, v_of, n_all, v_all))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -227,7 +333,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         for batch in batches:
             for at, data, offsets in _text.chunks(batch.column(3)):
                 h, first = tokens(data, offsets)
-                rows, k = features(h, first), classes(h, m.own)
+                k = classes(h, m.head, m.head_class)
+                rows = features(h, first, k)
                 of_class = np.empty(len(h))
                 for i in range(0, len(h), 16 * BATCH):
                     part = log_softmax(m.weights, rows[i : i + 16 * BATCH])

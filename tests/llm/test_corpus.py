@@ -169,3 +169,20 @@ def test_pipeline_stages(spark, tmp_path, case):
     left = spark.read.parquet(str(tmp_path / "2"))
     assert left.count() == left.select("doc_id").distinct().count()
     assert (at.count() > 0) == (case == "full")
+
+
+def test_word_groups_are_languages(spark):
+    rng = random.Random(4)
+    tongues = [[f"{x}{i}" for i in range(150)] for x in "abc"]
+    rows = [(" ".join(rng.choices(t, [1 / (k + 1) for k in range(150)], k=60)),) for t in tongues for _ in range(60)]
+    counts = collections.Counter(w for (t,) in rows for w in t.split())
+    by_count = sorted(counts, key=lambda w: (-counts[w], w))
+    from loomgrid.llm._text import hash_word
+
+    groups = lm.word_groups(spark.createDataFrame(rows, "text string"), np.array([hash_word(w.encode()) for w in by_count], np.uint64))
+    of = collections.defaultdict(set)
+    for w, g in zip(by_count, groups.tolist(), strict=True):
+        of[g].add(w[0])
+    assert all(len(x) == 1 for x in of.values()) and set().union(*of.values()) == set("abc")
+    k = lm.head_classes(np.array([counts[w] for w in by_count]), groups)
+    assert len(set(k[: lm.OWN].tolist())) == lm.OWN and k.max() < lm.CLASSES - 1 and k.min() == 0
