@@ -131,11 +131,18 @@ def _lerp(w: Column, a: Column, b: Column) -> Column:
     return F.when(w == 0, a).when(w == 1, b).otherwise(w * (b - a) + a)
 
 
+def _eased(x: Column, start: Column, width: Column) -> Column:
+    """From ``start`` on at slope 1, towards ``start + width`` and never past it."""
+    return start + width * erf((x - start) * F.lit(math.sqrt(math.pi) / 2) / width)
+
+
 TERNARY: dict[str, Callable[[Column, Column, Column], Column]] = {
     "add": lambda a, b, c: a + b + c,
     "multiply": lambda a, b, c: a * b * c,
     "min": lambda a, b, c: pick_min(a, pick_min(b, c)),
     "max": lambda a, b, c: pick_max(a, pick_max(b, c)),
+    "min_sm": lambda x, w, m: F.when(w > 0, F.when(x < m - w, x).otherwise(_eased(x, m - w, w))).otherwise(F.least(x, m)),
+    "max_sm": lambda m, w, x: F.when(w > 0, F.when(x > m + w, x).otherwise(_eased(x, m + w, -w))).otherwise(F.greatest(x, m)),
     "lt_sm": lambda a, w, b: (1 + erf(divide(b - a, w))) / 2,
     "gt_sm": lambda a, w, b: (1 + erf(divide(a - b, w))) / 2,
     "clamp": lambda lo, v, hi: F.when(lt(v, lo), lo).when(lt(hi, v), hi).otherwise(v),
@@ -192,6 +199,22 @@ def affine(g: Grid, low: float, high: float, out_low: float, out_high: float, cl
     return g.with_value(v)
 
 
+def affine_of(low: Grid | float, of: Grid | float, high: Grid | float, out_low: Grid | float, out_high: Grid | float, clamp: bool = False) -> Grid:
+    """:func:`affine` whose bounds may be grids as well; grids meet by their coordinates."""
+    g, (a, v, b, c, d) = _joined([low, of, high, out_low, out_high])
+    out = F.when(a == b, c).otherwise((v - a) * (d - c) / F.nullif(b - a, F.lit(0.0)) + c)
+    return g.with_value(F.least(F.greatest(out, F.least(c, d)), F.greatest(c, d)) if clamp else out)
+
+
+def cast_clamp_round(g: Grid, kind: str, clamp: bool = True, round_dir: int = 0) -> Grid:
+    """To another type: rounded up at halves (1), down at halves (-1) or not (0), clamped to the type's range or not, then cast."""
+    v = F.col("v")
+    if kind not in ("float", "double"):
+        v = F.floor(v + 0.5) if round_dir > 0 else F.ceil(v - 0.5) if round_dir < 0 else v
+    made = g.with_value(v)
+    return clamp_convert(made, kind) if clamp and kind not in ("float", "double") else convert(made, kind)
+
+
 def value_range(g: Grid) -> tuple[float, float]:
     """Least and greatest existing value: one small aggregate on the driver."""
     from loomgrid.core.exists import finite

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.core.exists import NAN, bin_clamp, exists
@@ -66,3 +66,36 @@ def lut2(a: Grid, b: Grid, table: list[list[float]], bounds_a: tuple[float, floa
     flat = _array([x for row in table for x in row])
     at = bin_clamp(F.col("va"), *map(F.lit, bounds_a), n) + n * bin_clamp(F.col("vb"), *map(F.lit, bounds_b), m)
     return Grid(both.select(*a.names, F.when(exists(F.col("va")) & exists(F.col("vb")), F.get(flat, at.cast("int"))).otherwise(F.lit(NAN)).alias("v")), a.axes)
+
+
+def _each(g: Grid, tables: Grid, at: Column) -> DataFrame:
+    """The cells of ``g`` with their own table's entry at ``at`` (v2); axis 0 of ``tables`` runs over the entries."""
+    entries = tables.df.select(F.col("i0").alias("__entry"), *(F.col(f"i{k + 1}").alias(n) for k, n in enumerate(g.names)), F.col("v").alias("v2"))
+    return g.df.withColumn("__entry", at.cast("long")).join(entries, [*g.names, "__entry"], "left")
+
+
+def _check_tables(g: Grid, tables: Grid) -> int:
+    if [a.size for a in tables.axes[1:]] != [a.size for a in g.axes]:
+        raise ValueError("there must be a table for each element")
+    return tables.axes[0].size
+
+
+def lut_each(g: Grid, tables: Grid, low: float, high: float) -> Grid:
+    """:func:`lut` with a table of its own for each element: one join on coordinates and bin."""
+    n = _check_tables(g, tables)
+    v = F.col("v")
+    met = _each(g, tables, F.when(exists(v), bin_clamp(v, F.lit(low), F.lit(high), n)))
+    return Grid(met.select(*g.names, F.when(exists(v), F.col("v2")).otherwise(v).alias("v")), g.axes)
+
+
+def map_each(g: Grid, tables: Grid, low: float, high: float) -> Grid:
+    """:func:`regular_map` with a table of its own for each element; both entries around a value come in one join."""
+    n = _check_tables(g, tables)
+    x = (F.least(F.greatest(F.col("v"), F.lit(low)), F.lit(high)) - low) / (high - low) * (n - 1)
+    at = F.least(F.floor(x), F.lit(max(0, n - 2))).cast("long")
+    cells = g.df.withColumn("x", x).withColumn("k", at).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    entries = tables.df.select(F.col("i0").alias("e"), *(F.col(f"i{k + 1}").alias(c) for k, c in enumerate(g.names)), F.col("v").alias("y"))
+    met = cells.withColumn("e", F.least(F.col("k") + F.col("side"), F.lit(n - 1))).join(entries, [*g.names, "e"], "left")
+    weight = F.when(F.col("side") == 1, F.col("x") - F.col("k")).otherwise(1 - F.col("x") + F.col("k"))
+    out = met.groupBy(*g.names).agg(F.first("v").alias("v0"), F.sum(weight * F.col("y")).alias("y"))
+    return Grid(out.select(*g.names, F.when(exists(F.col("v0")), F.col("y")).otherwise(F.col("v0")).alias("v")), g.axes)

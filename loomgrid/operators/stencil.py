@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,6 +111,36 @@ def distance(g: Grid, axis: int, threshold: float, above: bool = True) -> Grid:
     return Grid(rows.select(*g.names, F.coalesce(d, F.lit(float("inf"))).alias("v")), g.axes, "double", "distance")
 
 
+def _least_along(name: str) -> Callable[[pa.Table], pa.Table]:
+    """Of one line along ``name``: the least of squared distance so far (v) plus that along the line."""
+
+    def least(table: pa.Table) -> pa.Table:
+        at, d = table.column(name).to_numpy(), table.column("v").to_numpy()
+        out = np.empty(len(at))
+        for i in range(0, len(at), 512):
+            out[i : i + 512] = ((at[i : i + 512, None] - at[None]) ** 2 + d[None]).min(1)
+        return table.set_column(table.column_names.index("v"), "v", pa.array(out))
+
+    return least
+
+
+def distance_transform(g: Grid, threshold: float, above: bool = True) -> Grid:
+    """Euclidean distance over all axes to the nearest sample on the side asked for.
+
+    The first axis is two running windows; each other axis takes, a line at a time, the least of squared distances so
+    far and along it.  Without such a sample every distance is infinite.
+    """
+    squares = distance(g, 0, threshold, above)
+    squares = squares.with_value(F.col("v") * F.col("v"))
+    for axis in range(1, g.dim):
+        name = f"i{axis}"
+        others = [n for n in g.names if n != name]
+
+        schema = ", ".join(f"{n} long" for n in g.names) + ", v double"
+        squares = Grid(squares.df.select(*g.names, "v").groupBy(*others).applyInArrow(_least_along(name), schema), g.axes)
+    return Grid(squares.df.select(*g.names, F.sqrt("v").alias("v")), g.axes, "double", "distance")
+
+
 def components(g: Grid, connectivity: int | None = None) -> Grid:
     """Labels of connected equal values, numbered from 0 by least linear index; neighbours differ by one in at most
     ``connectivity`` coordinates."""
@@ -207,4 +238,4 @@ def probe(g: Grid, points: DataFrame, kernel: str = "tent", derivative: str | No
     return met.groupBy("p").agg(F.sum(F.col("v") * F.col("w")).alias("value"), *(F.sum(F.col("v") * F.col(f"w{j}")).alias(f"g{j}") for j in range(dim) if d))
 
 
-__all__ = ["adjacency", "border", "cheap_median", "component_sizes", "components", "distance", "fft", "gaussian_blur", "probe", "resample", "settle", "weights"]
+__all__ = ["adjacency", "border", "cheap_median", "component_sizes", "components", "distance", "distance_transform", "fft", "gaussian_blur", "probe", "resample", "settle", "weights"]

@@ -149,3 +149,36 @@ def test_from_table_axis_positions(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(4)], "k long, x double")
     g = from_table(df, ["k"], "x", (Axis(4, 0.0, 8.0),))
     assert [r[0] for r in g.df.select(g.axes[0].position(F.col("i0"))).collect()] == [1.0, 3.0, 5.0, 7.0]
+
+
+def test_pipe_files_and_reports(spark, tmp_path):
+    from loomgrid.pipe_queries import numbers
+
+    g = numbers(spark, range(24), 4, 6)
+    names = pipe.run(g, f"dice -a 1 -o {tmp_path}/part- -ff %02d.nrrd")
+    assert len(names) == 6 and [r.v for r in arrays.read(spark, names[2]).df.orderBy("i0").collect()] == [8, 9, 10, 11]
+    pipe.run(g, f"save -o {tmp_path}/all.nrrd -t float -e ascii")
+    assert "float" in pipe.run(g, f"head {tmp_path}/all.nrrd")
+    back = arrays.read(spark, f"{tmp_path}/all.nrrd")
+    assert pipe.run(g, "diff - other", {"other": back}).count() == 0
+    assert pipe.run(g, "cksum -t float") == pipe.run(back, "cksum -t float")
+    again = pipe.unblock(pipe.run(g, "block"), [4, 6])
+    assert pipe.run(g, "diff - other", {"other": again}).count() == 0
+    assert pipe.run(g, "env").filter("key = 'spark.sql.shuffle.partitions'").count() == 1
+    with pytest.raises(ValueError):
+        pipe.run(g, "minmax | flip -a 0")
+    with pytest.raises(ValueError):
+        pipe.run(g, "nothing")
+
+
+def test_smoothed_bounds_and_casts(spark):
+    from loomgrid.operators import elementwise as E
+    from loomgrid.pipe_queries import numbers
+
+    g = numbers(spark, [-300.5, 0.5, 3.5, 4, 40, 254.6])
+    low = [r.v for r in E.ternary("min_sm", g, 2.0, 5.0).df.orderBy("i0").collect()]
+    assert low[:2] == [-300.5, 0.5] and 3.4 < low[2] < 3.5 and low[2] < low[3] < low[4] <= 5
+    high = [r.v for r in E.ternary("max_sm", 1.0, 2.0, g).df.orderBy("i0").collect()]
+    assert high[3:] == [4, 40, 254.6] and 1 <= high[0] <= high[1] < 3
+    assert [r.v for r in E.cast_clamp_round(g, "uchar", True, 1).df.orderBy("i0").collect()] == [0, 1, 4, 4, 40, 255]
+    assert [r.v for r in E.cast_clamp_round(g, "uchar", True, 0).df.orderBy("i0").collect()] == [0, 0, 3, 4, 40, 254]
