@@ -190,20 +190,32 @@ def _sums(g: Grid, points: DataFrame, kernels: tuple[str, str, str], rule: str,
     return both.select("p", "s", F.expr(walk).alias("m"))
 
 
+#: What the values and the first derivatives of a volume are called, by its number of components.
+NAMED = {1: ("value", "gradient"), 3: ("vector", "jacobian"), 7: ("tensor", "tensorgrad")}
+
+
+def _basic(s: np.ndarray) -> Arrays:
+    """Values, first and second derivatives from sums (point x component x 10)."""
+    second = np.empty((*s.shape[:2], 3, 3))
+    for k, (i, j) in enumerate(PAIRS):
+        second[..., i, j] = second[..., j, i] = s[..., 4 + k]
+    of, grad = NAMED[s.shape[1]]
+    each = (lambda x: x[:, 0]) if s.shape[1] == 1 else (lambda x: x)
+    return {of: each(s[..., 0]), grad: each(s[..., 1:4]), "hessian": each(second)}
+
+
 def _answers(sums: DataFrame, items: list[str], components: int, work: Callable[[Arrays], Arrays]) -> DataFrame:
     median = "m" in sums.columns
-    sample = work({"value": np.zeros(1), "gradient": np.zeros((1, 3)), "hessian": np.zeros((1, 3, 3))} if components == 1 else {"vector": np.zeros((1, 3)), "jacobian": np.zeros((1, 3, 3)), "hessian": np.zeros((1, 3, 3, 3))}) | {"median": np.zeros(1)}
+    with np.errstate(all="ignore"):
+        sample = work(_basic(np.zeros((1, components, 10)))) | {"median": np.zeros(1)}
     kinds = ", ".join(f"{i} {'double' if sample[i].ndim == 1 else 'array<double>'}" for i in items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             s = batch.column(1).flatten().to_numpy().reshape(n, components, 10)
-            second = np.empty((n, components, 3, 3))
-            for k, (i, j) in enumerate(PAIRS):
-                second[..., i, j] = second[..., j, i] = s[..., 4 + k]
-            a = {"value": s[:, 0, 0], "gradient": s[:, 0, 1:4], "hessian": second[:, 0]} if components == 1 else {"vector": s[..., 0], "jacobian": s[..., 1:4], "hessian": second}
-            a = work(a)
+            with np.errstate(all="ignore"):
+                a = work(_basic(s))
             if median:
                 a["median"] = batch.column(2).to_numpy(zero_copy_only=False)
             cols = [pa.array(a[i]) if a[i].ndim == 1 else pa.array(list(a[i].reshape(n, -1))) for i in items]

@@ -153,3 +153,49 @@ _vector("vector_hessians", {
     "helgradient": _HG, "dirhelderiv": _ALONG, "projhelgradient": [f"{_HG[k]} - {_ALONG} * v{k} / vm" for k in range(3)],
 })
 _vector("vector_eigen", {"lambda2": None, "imaginarypart": None, "mgeval": None, "mgevec": None})
+
+# -- tensors: each number a polynomial; gradients by the chain rule over the six numbers ------------------------------------
+TENSOR = (
+    (0.8, 0.01, 0.02, -0.01, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (5.0, 0.3, -0.1, 0.2, 0.02, 0.0, 0.01, 0.0, 0.0, -0.02), (0.4, 0.1, 0.05, 0.0, 0.0, 0.02, 0.0, -0.01, 0.0, 0.0),
+    (-0.3, 0.0, 0.1, 0.05, 0.01, 0.0, 0.0, 0.0, 0.02, 0.0), (3.0, -0.1, 0.2, 0.1, 0.0, 0.01, 0.0, 0.02, 0.0, 0.01), (0.2, 0.05, 0.0, -0.1, 0.0, 0.0, 0.02, 0.0, 0.0, 0.01), (2.0, 0.1, 0.1, -0.1, 0.01, 0.0, 0.0, -0.02, 0.0, 0.03),
+)
+
+
+def _tensors(spark: SparkSession) -> Grid:
+    axes = (Axis(7), *(Axis(SIZE),) * 3)
+    case = " ".join(f"WHEN {k} THEN {_value(c, 'i1', 'i2', 'i3')}" for k, c in enumerate(TENSOR))
+    return Grid(spine(spark, axes).withColumn("v", F.expr(f"CASE i0 {case} END").cast("double")), axes)
+
+
+_SIX = ("a", "b", "c", "d", "e", "f")
+_DS = {"trace": ("1", "0", "0", "1", "0", "1"), "s": ("2 * a", "4 * b", "4 * c", "2 * d", "4 * e", "2 * f"), "b": ("d + f", "-2 * b", "-2 * c", "a + f", "-2 * e", "a + d"),
+       "det": ("d * f - e * e", "2 * (c * e - b * f)", "2 * (b * e - c * d)", "a * f - c * c", "2 * (b * c - a * e)", "a * d - b * b")}
+_NUMBERS = ", ".join(f"{_value(c, 'x', 'y', 'z')} AS {n}" for c, n in zip(TENSOR, ("w", *_SIX), strict=True)) + ", " + ", ".join(f"{_slopes(c)[k]} AS {n}{k}" for c, n in zip(TENSOR, ("w", *_SIX), strict=True) for k in range(3))
+_CHAIN = ", ".join(f"{' + '.join(f'({d}) * {n}{k}' for d, n in zip(ds, _SIX, strict=True))} AS g_{name}{k}" for name, ds in _DS.items() for k in range(3))
+_TENSOR_STEPS = (
+    f"t AS (SELECT *, {_NUMBERS} FROM q), i AS (SELECT *, a + d + f AS tr, a * a + d * d + f * f + 2 * (b * b + c * c + e * e) AS sq, a * d + a * f + d * f - b * b - c * c - e * e AS mi, "
+    f"a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS de, {_CHAIN} FROM t), "
+    "u AS (SELECT *, (sq - mi) / 9 AS q, sqrt((sq - mi) / sq) AS fa, (27 * de - 5 * tr * mi + 2 * tr * sq) / 54 AS r FROM i), s AS (SELECT *, r / pow(q, 1.5) AS mo FROM u)"
+)
+_FA_SLOPE = [f"(sq * (g_s{k} - g_b{k}) - (sq - mi) * g_s{k}) / (2 * fa * sq * sq)" for k in range(3)]
+
+
+def _ten(name: str, items: dict[str, object]) -> None:
+    from loomgrid.operators.tensor_probing import probe_tensor
+
+    QUERIES[f"probe_{name}"] = lambda s, sf: _rounded(probe_tensor(_tensors(s), _points(s, sf), list(items), KERNELS))
+    if all(e is not None for e in items.values()):
+        ORACLES[f"probe_{name}"] = _sql(_TENSOR_STEPS, items)
+
+
+_ten("tensor_values", {
+    "tensor": ["w", *_SIX], "confidence": "w", "trace": "tr", "norm": "sqrt(sq)", "b": "mi", "det": "de", "s": "sq", "q": "q", "fa": "fa", "r": "r", "mode": "mo",
+    "theta": "acos(-mo) / pi()", "modewarp": "cos((1 - mo) * pi() / 2)", "omega": "fa * (1 + mo) / 2",
+})
+_ten("tensor_gradients", {
+    "tensorgrad": [f"{n}{k}" for n in ("w", *_SIX) for k in range(3)], "tensorgradmag": [f"sqrt({' + '.join(f'{w} * {n}{k} * {n}{k}' for w, n in zip((1, 2, 2, 1, 2, 1), _SIX, strict=True))})" for k in range(3)],
+    **{f"{n}gradvec": [f"g_{n}{k}" for k in range(3)] for n in _DS}, **{f"{n}gradmag": f"sqrt({' + '.join(f'g_{n}{k} * g_{n}{k}' for k in range(3))})" for n in _DS},
+    "qgradvec": [f"(g_s{k} - g_b{k}) / 9" for k in range(3)], "normgradvec": [f"g_s{k} / (2 * sqrt(sq))" for k in range(3)], "fagradvec": _FA_SLOPE,
+    "fagradmag": f"sqrt({' + '.join(f'pow({e}, 2)' for e in _FA_SLOPE)})", "rgradvec": [f"(27 * g_det{k} - 5 * (g_trace{k} * mi + tr * g_b{k}) + 2 * (g_trace{k} * sq + tr * g_s{k})) / 54" for k in range(3)],
+})
+_ten("tensor_derived", dict.fromkeys(["fahessian", "fahessianeval", "omegahessian", "modehessian", "cl1", "cp1", "ca1", "cl1hessian", "evalgrads", "evalhessian", "fadiffusionalign", "faridgesurfacestrength"]))

@@ -62,3 +62,34 @@ def test_ridges_and_valleys():
     dark = probing.scalar_items({"value": np.zeros(1), "gradient": np.zeros((1, 3)), "hessian": -np.diag([-4.0, -3.0, 0.1])[None]})
     assert dark["hessvalleyness"][0] == bright["hessridgeness"][0] and dark["hessridgeness"][0] == 0
     assert dark["curvdir1"].shape == (1, 3) and dark["k1"][0] == 0
+
+
+def tensors_at(x):
+    """Inputs of the tensor items from the polynomials themselves."""
+    c = np.array(Q.TENSOR)
+    bend = np.stack([Q._bends(tuple(k)) for k in c])
+    grad = c[:, 1:4] + np.einsum("kij,nj->nki", bend, x)
+    value = c[:, 0] + x @ c[:, 1:4].T + np.einsum("ni,kij,nj->nk", x, bend, x) / 2
+    return {"tensor": value, "tensorgrad": grad, "hessian": np.broadcast_to(bend, (len(x), *bend.shape)).copy()}
+
+
+def test_derivatives_of_invariants_are_those_of_differences():
+    from loomgrid.operators.tensor_probing import ITEMS, tensor_items
+
+    rng = np.random.default_rng(6)
+    x = rng.uniform(2, 7, size=(40, 3))
+    got = tensor_items(tensors_at(x))
+    h = 1e-5
+    steps = [(tensor_items(tensors_at(x + h * d)), tensor_items(tensors_at(x - h * d))) for d in np.eye(3)]
+    for name in ("trace", "norm", "b", "det", "s", "q", "fa", "r", "mode", "theta", "omega", "cl1", "cp1", "ca1"):
+        slope = np.stack([(a[name] - b[name]) / (2 * h) for a, b in steps], -1)
+        bend = np.stack([(a[name + "gradvec"] - b[name + "gradvec"]) / (2 * h) for a, b in steps], -1)
+        assert np.allclose(slope, got[name + "gradvec"], atol=1e-5, rtol=1e-5), name
+        assert np.allclose(bend, got[name + "hessian"], atol=1e-4, rtol=1e-4), name
+        assert np.allclose(np.trace(bend, axis1=1, axis2=2), got[name + "laplacian"], atol=1e-3, rtol=1e-3)
+    for k in range(3):
+        assert np.allclose(np.stack([(a[f"eval{k}"] - b[f"eval{k}"]) / (2 * h) for a, b in steps], -1), got["evalgrads"][:, k], atol=1e-5)
+    assert ((0 <= got["fadiffusionalign"]) & (got["fadiffusionalign"] <= 1)).all() and (got["faridgesurfacestrength"] >= 0).all()
+    with np.errstate(all="ignore"):
+        none = tensor_items({"tensor": np.zeros((2, 7)), "tensorgrad": np.zeros((2, 7, 3)), "hessian": np.zeros((2, 7, 3, 3))})
+    assert all(np.isfinite(none[i]).all() for i in ITEMS)
