@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid import kernel_queries, pipe_queries, probe_queries
+from loomgrid import kernel_queries, pipe_queries, probe_queries, tensor_queries
 from loomgrid.core.grid import Axis, Grid, from_table
 from loomgrid.functions.kernels import parse
 from loomgrid.operators import elementwise as E
@@ -439,6 +439,6 @@ for _t in tensor.MEASURES:
     add(f"tensor_{_t.replace('-', '_')}", _tensor(_t), f"SELECT event_id, round({TENSOR_SQL[_t]}, 5) AS v FROM ({_TENSOR})" if _t in TENSOR_SQL else None)
 
 # -- kernels by family, commands of the pipe, items of probed volumes ----------------------------------------------------
-for _more in (kernel_queries, pipe_queries, probe_queries):
+for _more in (kernel_queries, pipe_queries, probe_queries, tensor_queries):
     QUERIES.update(_more.QUERIES)
     ORACLES.update(_more.ORACLES)
