@@ -48,10 +48,10 @@ from loomgrid.llm import _text
 from loomgrid.llm._spark import components, cut, dealt_join, discard, shares, small
 
 RETAINED = 32
-FINER = 4
+FINER = 16
 LED = 4
 LEADERS = 4
-CROWD = 64
+CROWD = 256
 DEVIATIONS = 5
 #: Longs of the parity digest, and of the bit map of the sketch.
 PARITY = 16
