@@ -16,7 +16,7 @@ from loomgrid.plans import tensor_pipe
 
 DIGITS = 6
 #: Eigenvalues (falling) and the cosine and sine of the angle, for Spark and the oracle alike.
-_E = ("(3 + event_id % 10)", "(1.5 + event_id % 3 / 2.0)", "(0.2 + event_id % 7 / 10.0)")
+_E = ("(3.0171 + event_id % 10 * 1.01337)", "(1.5113 + event_id % 3 * 0.50171)", "(0.20119 + event_id % 7 * 0.100313)")
 _C, _S = "cos(event_id % 12 * 0.25)", "sin(event_id % 12 * 0.25)"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
