@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,34 +98,16 @@ BINARY: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def _bessel_i0(x: float) -> float:
-    if abs(x) > 30:  # asymptotic series; the exponent is taken out by the caller's log form
-        t, s, k = 1.0, 1.0, 1
-        while k < 20:
-            t *= (2 * k - 1) ** 2 / (8 * k * abs(x))
-            s += t
-            k += 1
-        return math.exp(abs(x)) / math.sqrt(2 * math.pi * abs(x)) * s
-    t = s = 1.0
-    k = 1
-    while t > 1e-17 * s:
-        t *= (x / (2 * k)) ** 2
-        s += t
-        k += 1
-    return s
-
-
 @F.pandas_udf(DoubleType())
 def rician(m: pd.Series, t: pd.Series, s: pd.Series) -> pd.Series:
     """Density of a Rician at m, of true value t and noise s."""
-
-    def one(m: float, t: float, s: float) -> float:
-        z = m * t / (s * s)
-        if z > 600:
-            return math.exp(-((m - t) ** 2) / (2 * s * s)) * m / (s * s) / math.sqrt(2 * math.pi * z)
-        return m / (s * s) * math.exp(-(m * m + t * t) / (2 * s * s)) * _bessel_i0(z)
-
-    return pd.Series([one(*x) for x in zip(m, t, s, strict=True)])
+    m, t, s = (x.to_numpy(float) for x in (m, t, s))
+    with np.errstate(all="ignore"):
+        z, scale = m * t / (s * s), m / (s * s)
+        near = scale * np.exp(-(m * m + t * t) / (2 * s * s)) * np.i0(np.minimum(z, 600))
+        # the Bessel function by its asymptote, with the exponents taken together
+        far = scale * np.exp(-((m - t) ** 2) / (2 * s * s)) / np.sqrt(2 * np.pi * np.where(z > 0, z, 1))
+    return pd.Series(np.where(z > 600, far, near))
 
 
 def _lerp(w: Column, a: Column, b: Column) -> Column:

@@ -357,7 +357,11 @@ def _resample_sql(kernel: str, samples: int, rule: str) -> str:
 
 for _k, _n, _rule in (("box", 10, "bleed"), ("tent", 10, "bleed"), ("tent", 40, "mirror"), ("ctmr", 40, "wrap"), ("ctmr", 12, "bleed"), ("bspl3", 40, "bleed"), ("gauss:1.5,3", 25, "mirror"), ("hann:3", 30, "bleed")):
     add(f"resample_{_k.split(':')[0]}_{_n}_{_rule}", _resampled(_k, _n, _rule), _resample_sql(_k, _n, _rule))
-add("gaussian_blur", lambda s, sf: _out(stencil.gaussian_blur(_plane(events_line(s, sf)), 1, 1.0), 6))
+add(
+    "gaussian_blur", lambda s, sf: _out(stencil.gaussian_blur(_plane(events_line(s, sf)), 1, 1.0), 6),
+    f"""WITH g AS {_PLANE}, w AS (SELECT d, exp(-d * d / 2.0) AS w FROM (SELECT unnest(range(-2, 3)) AS d))
+    SELECT o.i0, o.i1, round(sum(g.v * w) / sum(w), 6) AS v FROM g o CROSS JOIN w JOIN g ON g.i0 = o.i0 AND g.i1 = least(greatest(o.i1 + d, 0), (SELECT n FROM {_N}) - 1) GROUP BY o.i0, o.i1""",
+)
 add(
     "cheap_median", lambda s, sf: _out(stencil.cheap_median(_plane(events_line(s, sf)), 0, 2, 256), 6),
     f"""WITH b AS (SELECT i0, i1, least(floor((v - lo) / (hi - lo) * 256), 255) AS b, lo, hi FROM {_PLANE}, {_R}),
@@ -425,6 +429,8 @@ _SQ = "(a * a + d * d + f * f + 2 * (b * b + c * c + e * e))"
 _DEV = f"({_SQ} - (a + d + f) * (a + d + f) / 3)"
 TENSOR_SQL = {"trace": "a + d + f", "norm": f"sqrt({_SQ})", "det": _DET, "fa": f"sqrt(1.5 * {_DEV} / {_SQ})", "mode": f"3 * sqrt(6) * ({_DET} - (a + d + f) / 3 * (a * d + a * f + d * f - b * b - c * c - e * e) + 2 * pow((a + d + f) / 3, 3)) / pow({_DEV}, 1.5)"}
 
+TENSOR_SQL["first-eigenvalue"] = f"(a + d + f) / 3 + 2 * sqrt({_DEV} / 6) * cos(acos(least(greatest({TENSOR_SQL['mode']}, -1), 1)) / 3)"
+
 
 def _tensor(name: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
