@@ -34,6 +34,8 @@ COMMANDS: dict[str, Command] = {
     "eval": lambda df, o: T.eigen(df).drop("evec"),
     "evec": lambda df, o: T.eigen(df).drop("eval"),
     "expand": lambda df, o: df.withColumn("m", T.expand(F.col("t"), o("s", 1.0), o("t", 0.5))),
+    "make": lambda df, o: df.withColumn("t", T.make(F.get("t", F.lit(0)), F.col("eval"), F.col("evec"))),
+    "solve": lambda df, o: T.eigen(df),
     "shrink": lambda df, o: df.withColumn("t", T.shrink(F.col("m"))),
 }
 

@@ -62,6 +62,7 @@ add("norm", "norm -w 1 1 1 -a 0.5 -t 4", _edited(f"(0.5 * {{}} + 2 * {{}} / {_ME
 add("anscale", "anscale -s 0.5", _edited(f"(0.5 * {{}} + 0.5 * {_MEAN})"))
 add("eval", "eval", {"eval": list(_E)})
 add("evec", "evec", None)
+add("make", "solve | make", {"t": _numbers(*_E)})
 add("expand", "expand", {"m": [_numbers(*_E)[k] for k in (1, 2, 3, 2, 4, 5, 3, 5, 6)]})
 add("shrink", "expand | shrink", {"t": _numbers(*_E)})
 add("evecrgb", "evecrgb -c 0 -a cl1", {"rgb": [f"abs({x}) * ({_E[0]} - {_E[1]}) / (3 * {_MEAN})" for x in (_C, _S, "0")]})
