@@ -9,8 +9,8 @@ order of the bound that its terms' block maxima give, and stops when the bound c
 cosine: the neighbours are exact.  They vote with the square of their cosine, against a prior of the share of
 toxic examples with the weight ``PRIOR``; what they and the text share is the evidence.
 
-Defined cases: null and empty texts, and texts without a term of the vocabulary, have no neighbours and
-score the prior; with no labelled rows of both labels the score is the share of toxic ones (0 with none); ties
+Defined cases: null and empty texts have no neighbours and score the prior, as do texts without a term of the
+vocabulary, unless an example has the very same text, which is then the one neighbour, with a cosine of 1; with no labelled rows of both labels the score is the share of toxic ones (0 with none); ties
 of cosine go to the example with the smaller number; repeated rows are scored each; labels that are null or
 without a document are no examples; an empty table gives an empty result; other columns are ignored.
 """
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +104,7 @@ class Index:
     example: np.ndarray
     weight: np.ndarray
     most: np.ndarray  # term x block
+    same: dict[int, int]  # hash of an example's text: its number
 
     @classmethod
     def build(cls, vocabulary: np.ndarray, idf: np.ndarray, texts: list[str], toxic: np.ndarray, ids: np.ndarray) -> Index:
@@ -120,7 +122,8 @@ class Index:
         most = np.zeros((len(vocabulary), blocks))
         np.maximum.at(most, (term, of // BLOCK), w)
         prior = float(toxic.mean()) if len(toxic) else 0.0
-        return cls(vocabulary, idf, toxic, ids, prior, starts, of, w, most)
+        same = {xxhash.xxh3_64_intdigest(t.encode()): i for i, t in reversed(list(enumerate(texts)))}
+        return cls(vocabulary, idf, toxic, ids, prior, starts, of, w, most, same)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the nearest examples of one text, those with a cosine over 0."""
@@ -155,6 +158,11 @@ class Index:
             i, c = self.nearest(t, w / np.sqrt(w @ w))
             out[d] = self.vote(i, c)
             near[d], cos[d] = self.ids[i[:3]].tolist(), np.minimum(c[:3], 1.0).tolist()
+        for d in np.flatnonzero((np.diff(first) == 0) & (np.diff(offsets) > 0)).tolist():  # without a term, only an equal text is near
+            i = self.same.get(xxhash.xxh3_64_intdigest(data[offsets[d] : offsets[d + 1]].tobytes()))
+            if i is not None:
+                out[d] = self.vote(np.array([i]), np.ones(1))
+                near[d], cos[d] = [int(self.ids[i])], [1.0]
         return out, near, cos
 
 

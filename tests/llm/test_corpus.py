@@ -147,6 +147,12 @@ def test_toxicity(spark):
     q[:3] = [0.2, 0.5, 0.8]
     i, c = index.nearest(np.arange(3), q[:3])
     assert np.allclose(c, np.sort(dense @ q)[::-1][: len(c)])
+    # a text without a term of the vocabulary has only an equal text for a neighbour
+    one = next(i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    more = spark.createDataFrame([*rows, (one, "seen once only", "s"), (3000, "seen once only", "s"), (3001, "seen once", "s")], docs.schema)
+    odd = toxicity.score(more, toxicity.fit(more, known.unionByName(spark.createDataFrame([(one, 1)], known.schema)))).filter("doc_id >= 3000").select("doc_id", "__toxicity.*")
+    found = {r.doc_id: r for r in odd.collect()}
+    assert (found[3000].neighbours, found[3000].cosines, found[3001].neighbours) == ([one], [1.0], []) and found[3000].score > found[3001].score
     none = toxicity.fit(docs, known.limit(0))
     assert {r.predicted for r in toxicity.score(docs, none).select("__toxicity.*").collect()} == {0}
     assert toxicity.score(docs.limit(0), index).count() == 0
