@@ -490,8 +490,13 @@ def _fft(c: Call) -> Grid:
 
 @command("save")
 def _save(c: Call) -> str:
-    if c.one("f", "nrrd") == "pnm":
+    form = c.one("f", "nrrd")
+    if form == "pnm":
         arrays.write_pnm(c.g, c.one("o"))
+    elif form == "text":
+        arrays.write_text(c.g, c.one("o"))
+    elif form == "vtk":
+        arrays.write_vtk(c.g, c.one("o"), c.one("t", "float"))
     else:
         arrays.write_array(c.g, c.one("o"), c.one("t", c.g.kind), c.one("e", "raw"))
     return c.one("o")

@@ -245,11 +245,55 @@ def read(spark: SparkSession, path: str) -> Grid:
     return Grid(df.select(*out, "v"), h.axes(), h.kind, notes=h.pairs)
 
 
+def to_numpy(g: Grid) -> np.ndarray:
+    """The values as an array whose last axis is axis 0; for grids that the driver can hold."""
+    rows = g.df.select(g.linear().alias("at"), "v").orderBy("at").toLocalIterator(prefetchPartitions=True)
+    return np.fromiter((r["v"] for r in rows), np.float64, g.size).reshape([a.size for a in reversed(g.axes)])
+
+
+def from_numpy(spark: SparkSession, values: np.ndarray) -> Grid:
+    """A grid from an array on the driver; axis 0 is the array's last axis."""
+    table = pa.table({"at": pa.array(np.arange(values.size)), "v": pa.array(values.ravel().astype(float))})
+    out, step = [], 1
+    for k, n in enumerate(reversed(values.shape)):
+        out.append((F.floor(F.col("at") / step) % n).cast("long").alias(f"i{k}"))
+        step *= n
+    return Grid(spark.createDataFrame(table).select(*out, "v"), tuple(Axis(n) for n in reversed(values.shape)))
+
+
+def write_text(g: Grid, path: str) -> None:
+    """A line of numbers for each place on axis 1."""
+    if g.dim > 2:
+        raise ValueError("a text file holds at most 2 axes")
+    with open(path, "w") as f:
+        f.writelines(" ".join(map(repr, row.tolist())) + "\n" for row in np.atleast_2d(to_numpy(g)))
+
+
+def write_vtk(g: Grid, path: str, kind: str = "float") -> None:
+    """Structured points: scalars of 3 axes, or vectors where axis 0 holds their 3 components before these."""
+    vectors = g.dim == 4 and g.axes[0].size == 3
+    if g.dim != 3 and not vectors:
+        raise ValueError("structured points have 3 axes, or 4 of which the first holds 3 components")
+    axes = g.axes[1:] if vectors else g.axes
+    name = {"uchar": "unsigned_char", "signed char": "char", "ushort": "unsigned_short", "uint": "unsigned_int"}.get(kind, kind)
+    head = ["# vtk DataFile Version 3.0", "grid", "BINARY", "DATASET STRUCTURED_POINTS", "DIMENSIONS " + " ".join(str(a.size) for a in axes), "ORIGIN 0 0 0", "SPACING 1 1 1", f"POINT_DATA {axes[0].size * axes[1].size * axes[2].size}"]
+    head += [f"VECTORS vectors {name}"] if vectors else [f"SCALARS scalars {name}", "LOOKUP_TABLE default"]
+    with open(path, "wb") as f:
+        f.write(("\n".join(head) + "\n").encode() + to_numpy(g).astype(np.dtype(">" + TYPES[kind])).tobytes())
+
+
+def write_many(grids: list[Grid], pattern: str, first: int = 0, kind: str = "double") -> list[str]:
+    """A file for each grid, by a pattern with a number; the names."""
+    names = [pattern % (first + k) for k in range(len(grids))]
+    for g, name in zip(grids, names, strict=True):
+        write_array(g, name, kind)
+    return names
+
+
 def write_array(g: Grid, path: str, kind: str = "double", encoding: str = "raw") -> None:
     """A header and one payload file beside it.  Values are gathered in order, so this is for results that one file can hold."""
     dtype = np.dtype("<" + TYPES[kind])
-    rows = g.df.select(g.linear().alias("at"), "v").orderBy("at").toLocalIterator(prefetchPartitions=True)
-    data = np.fromiter((r["v"] for r in rows), np.float64, g.size).astype(dtype)
+    data = to_numpy(g).ravel().astype(dtype)
     raw = data.tobytes()
     if encoding == "gzip":
         raw = gzip.compress(raw)

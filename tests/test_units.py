@@ -182,3 +182,22 @@ def test_smoothed_bounds_and_casts(spark):
     assert high[3:] == [4, 40, 254.6] and 1 <= high[0] <= high[1] < 3
     assert [r.v for r in E.cast_clamp_round(g, "uchar", True, 1).df.orderBy("i0").collect()] == [0, 1, 4, 4, 40, 255]
     assert [r.v for r in E.cast_clamp_round(g, "uchar", True, 0).df.orderBy("i0").collect()] == [0, 0, 3, 4, 40, 254]
+
+
+def test_other_file_formats(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    cube = rng.integers(0, 200, size=(4, 3, 5)).astype(float)
+    g = arrays.from_numpy(spark, cube)
+    assert [a.size for a in g.axes] == [5, 3, 4] and (arrays.to_numpy(g) == cube).all()
+    for kind in ("float", "uchar", "double"):
+        pipe.run(g, f"save -f vtk -o {tmp_path}/a.vtk -t {kind}")
+        assert (arrays.to_numpy(arrays.read(spark, f"{tmp_path}/a.vtk")) == cube).all()
+    field = rng.normal(size=(2, 2, 2, 3)).astype(np.float32)
+    arrays.write_vtk(arrays.from_numpy(spark, field), f"{tmp_path}/v.vtk")
+    assert (arrays.to_numpy(arrays.read(spark, f"{tmp_path}/v.vtk")) == field).all()
+    pipe.run(shape.slice_at(g, 2, 1), f"save -f text -o {tmp_path}/a.txt")
+    assert (arrays.to_numpy(arrays.read(spark, f"{tmp_path}/a.txt")) == cube[1]).all()
+    names = arrays.write_many([shape.slice_at(g, 2, k) for k in range(4)], f"{tmp_path}/s%02d.nrrd", 3)
+    assert (arrays.to_numpy(arrays.read(spark, names[2])) == cube[2]).all() and names[0].endswith("s03.nrrd")
+    with pytest.raises(ValueError):
+        arrays.write_text(g, f"{tmp_path}/b.txt")
