@@ -13,10 +13,11 @@ at first.
    and of a text with fewer than c such values none.  Every pair of representatives of *different* components
    that meet in a list is a candidate, in the first such list alone.
 4. A list of more than ``CROWD`` components is a passage that many unlike texts share.  A text that still lists
-   such a value after step 3 consists of it for the greater part; these texts go through step 3 once more among
-   themselves with sketches ``FINER`` times as large, where c is a greater share, until the sketches are the whole
-   sets and c is exact.  What then still meets in a crowded list has all but a fifth of its shingles there, and
-   every pair is formed.
+   such a value after step 3 consists of it for the greater part.  Where both sets are whole, every pair that meets
+   there is formed at once.  The other texts, and those that are large enough to be linked with one of them, go
+   through step 3 once more among themselves with sketches ``FINER`` times as large, where c is a greater share,
+   until the sketches are the whole sets and c is exact.  What then still meets in a crowded list has all but a
+   fifth of its shingles there.
 5. Candidates must agree in size and in two digests that are compared where lists meet: the parity digest of the
    whole set, in which two sets differ in at most as many bits as the sets do in members (so no link is lost),
    and a bit map of the sketch.  They are then filtered by the Jaccard of the union sketch, then verified on the
@@ -231,11 +232,14 @@ class Search:
         discard(lists)
         order = listed.groupBy("rep", "f1").agg(F.sort_array(F.collect_list(F.struct("place", "v"))).getField("v").alias("order"))
         known = order.join(_marked(held.select("rep", "f1", "digest")), ["rep", "f1"])
-        final = f"NOT crowded OR 100 * n <= {self.percent * retained}"
+        # both whole: such a pair lists the first value they share, however crowded, so it needs no finer sketch
+        final = f"NOT crowded OR n <= {retained}"
         side = listed.filter(final).join(known, ["rep", "f1"]).withColumn("before", F.slice("order", F.lit(1), F.col("place") - 1)).drop("f1", "crowded", "order", "place")
         # a pair is made where the rarest value that both list is, and nowhere else
         met = _named(side, "a").join(_named(side, "b"), "v").filter(f"a < b AND a_component <> b_component AND {_near(self.percent)} AND NOT arrays_overlap(a_before, b_before)")
-        finer = listed.filter(f"crowded AND 10000 * n > {self.percent * self.percent * retained}").select(F.col("rep").alias("id")).distinct()
+        # what is left has a set that is not whole on one side; the other side may be whole, but not much smaller
+        least = listed.filter(f"crowded AND n > {retained}").agg(F.min("n")).first()[0]
+        finer = listed.filter("false" if least is None else f"crowded AND 100 * n >= {self.percent * least}").select(F.col("rep").alias("id")).distinct()
         return met.select("a", "b").distinct(), finer, listed
 
 

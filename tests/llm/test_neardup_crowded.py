@@ -50,3 +50,37 @@ def test_an_id_with_several_texts_is_one_node(spark):
 def test_ids_must_be_integers(spark):
     with pytest.raises(ValueError):
         neardup.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def around_one_passage(rng, sizes, own):
+    """Texts of one passage, a few words of which are replaced, and a near copy of every third."""
+    rows = []
+    for i, size in enumerate(sizes):
+        text = [f"p{k}" for k in range(size)]
+        for at in rng.sample(range(size), own(size)):
+            text[at] = f"s{i}_{at}"
+        rows.append((2 * i, " ".join(text)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join(text[: size - size // 12])))
+    return rows
+
+
+@pytest.mark.parametrize(
+    ("low", "high", "passes"),
+    [(420, 500, [32, 512]), (430, 640, [32, 512, 8192])],
+    ids=["whole", "around the size of a sketch"],
+)
+def test_whole_sets_meet_once(spark, monkeypatch, low, high, passes):
+    """Crowded texts whose sets are whole in a pass are settled there, and only with larger ones do they go on."""
+    monkeypatch.setattr(neardup, "CROWD", 8)
+    monkeypatch.setattr(neardup, "LEADERS", 1)
+    monkeypatch.setattr(neardup, "LED", 1)
+    seen, candidates = [], neardup.Search.candidates
+    monkeypatch.setattr(neardup.Search, "candidates", lambda self, held, retained: seen.append(retained) or candidates(self, held, retained))
+    rng = random.Random(8)
+    rows = around_one_passage(rng, [rng.randrange(low, high) for _ in range(60)], lambda size: size // 40 + rng.randrange(size // 40))
+    want, links = brute(rows)
+    assert len(links) > 15 and len(set(want.values())) > 30
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert seen == passes
