@@ -1,8 +1,8 @@
 """Probing: values, derivatives and what follows from them, at points between the samples of a volume.
 
-Points are (p, x0, x1, x2) in index space.  Each meets the samples under its kernels by one join on coordinates and
-sums them with separable weights of three kernels (values, first and second derivatives): ten sums a component,
-whatever items are asked for.  The items are then numpy expressions over whole batches of points.
+Points are (p, x0, x1, x2) in index space.  Each meets the samples under its kernels as one array, by a join on its
+cell, and sums them with separable weights of three kernels (values, first and second derivatives): ten sums a
+component, whatever items are asked for.  The items are then numpy expressions over whole batches of points.
 """
 
 from __future__ import annotations
@@ -152,42 +152,80 @@ VECTOR_ITEMS = (
 
 
 def _sums(g: Grid, points: DataFrame, kernels: tuple[str, str, str], rule: str, components: int, median: bool) -> DataFrame:
-    """(p, s: the ten sums of each component, one component after another), and the weighted median as m."""
+    """(p, s: the ten sums of each component, one component after another), and the weighted median as m.
+
+    The samples around a cell are gathered once, into one array, for all the points in that cell; what meets the points
+    is one row a cell, so no row is made for a point and a sample, and the points themselves are not grouped.
+    """
     made = [parse(k) for k in kernels]
     reach = int(np.ceil(max(k.support for k in made)))
+    side = 2 * reach
     axes = g.axes[-3:]
     spacing = [(a.high - a.low) / (a.size - (a.center == "node")) if a.low is not None and a.high is not None else 1.0 for a in axes]
     orders = [(0, 0, 0), *(tuple(int(k == i) for k in range(3)) for i in range(3)), *(tuple((k == i) + (k == j) for k in range(3)) for i, j in PAIRS)]
+    steps = np.arange(1 - reach, reach + 1)
+    offsets = np.stack(np.meshgrid(steps, steps, steps, indexing="ij"), -1).reshape(-1, 3)
+    slots = components * len(offsets)
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        offsets = np.stack(np.meshgrid(*[np.arange(1 - reach, reach + 1)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each cell b the samples around it; ``slot`` is a sample's place in the cell's array."""
         for whole in batches:
             for i in range(0, len(whole), 2048):
-                pdf = whole.iloc[i : i + 2048]
-                x = pdf[["x0", "x1", "x2"]].to_numpy()
-                at = np.floor(x).astype(int)[:, None] + offsets[None]
-                w = [[k.f(x[:, None, d] - at[:, :, d]) / spacing[d] ** n for n, k in enumerate(made)] for d in range(3)]
-                cols = {"p": np.repeat(pdf["p"].to_numpy(), len(offsets))}
-                for d in range(3):
-                    cols[f"c{d}"] = border_index(at[:, :, d], axes[d].size, rule).ravel()
-                for s, o in enumerate(orders):
-                    cols[f"w{s}"] = (w[0][o[0]] * w[1][o[1]] * w[2][o[2]]).ravel()
-                yield pd.DataFrame(cols)
-
-    schema = "p long, c0 long, c1 long, c2 long, " + ", ".join(f"w{s} double" for s in range(len(orders)))
-    need = points.select("p", *(F.col(f"x{d}").cast("double") for d in range(3))).mapInPandas(spread, schema)
+                base = whole.iloc[i : i + 2048][["b0", "b1", "b2"]].to_numpy()
+                at = np.repeat(base[:, None] + offsets[None], components, 1).reshape(-1, 3)
+                cols = {f"b{d}": np.repeat(base[:, d], slots) for d in range(3)} | {f"c{d}": border_index(at[:, d], axes[d].size, rule) for d in range(3)}
+                slot = np.tile(np.arange(slots), len(base))
+                yield pd.DataFrame(cols | {"k": slot % components, "slot": slot})
+
+    near = ["b0", "b1", "b2"]
+    placed = points.select("p", *(F.col(f"x{d}").cast("double") for d in range(3)))
+    placed = placed.select("*", *(F.floor(f"x{d}").cast("long").alias(f"b{d}") for d in range(3)))
     first = g.dim - 3
-    cells = g.df.select(*(F.col(f"i{first + d}").alias(f"c{d}") for d in range(3)), *([F.col("i0").alias("k")] if first else []), "v")
-    met = need.join(cells, ["c0", "c1", "c2"])
-    value = (lambda k: F.when(F.col("k") == k, F.col("v")).otherwise(0.0)) if first else (lambda k: F.col("v"))
-    sums = F.array(*(F.sum(value(k) * F.col(f"w{s}")) for k in range(components) for s in range(len(orders)))).alias("s")
-    if not median:
-        return met.groupBy("p").agg(sums)
-    # the first value, in order, at which the weights so far pass half of all
-    held = F.sort_array(F.collect_list(F.struct("v", "w0"))).alias("held")
-    both = met.groupBy("p").agg(sums, held, F.sum("w0").alias("all"))
-    walk = "aggregate(held, named_struct('w', 0D, 'v', double(NULL)), (a, x) -> named_struct('w', a.w + x.w0, 'v', CASE WHEN a.v IS NULL AND a.w + x.w0 > all / 2 THEN x.v ELSE a.v END)).v"
-    return both.select("p", "s", F.expr(walk).alias("m"))
+    cells = g.df.select(*(F.col(f"i{first + d}").alias(f"c{d}") for d in range(3)), (F.col("i0") if first else F.lit(0).cast("long")).alias("k"), "v", F.col("v").isNotNull().alias("here"))
+    schema = ", ".join(f"{c} long" for c in (*near, "c0", "c1", "c2", "k", "slot"))
+    need = placed.select(*near).distinct().mapInPandas(around, schema).join(cells, ["c0", "c1", "c2", "k"], "left")
+    held = F.sort_array(F.collect_list(F.struct("slot", "v", "here")))
+    blocks = need.groupBy(*near).agg(held.alias("held"), F.count("here").alias("cells"), F.count("v").alias("n")).filter("cells > 0")
+    met = placed.join(blocks.select(*near, F.col("held.v").alias("v"), F.col("held.here").alias("here"), "n"), near)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                yield some(whole.slice(i, 1024))
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        x = np.stack([batch.column(1 + d).to_numpy() for d in range(3)], 1)
+        t = x[:, None] - (np.floor(x)[:, None] + steps[None, :, None])
+        w = [[k.f(t[:, :, d]) / spacing[d] ** o for o, k in enumerate(made)] for d in range(3)]
+        v = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(n, -1, components)
+        out = {}
+        here = None
+        if (batch.column(6).to_numpy() < slots).any():  # samples beyond the border or not in the grid add nothing
+            here = batch.column(5).flatten().fill_null(False).to_numpy(zero_copy_only=False).reshape(n, -1, components)
+            v = np.where(here, v, 0.0)
+        box = v.reshape(n, side, side, side, components)
+        for o2 in range(3):
+            by2 = np.einsum("nxyzk,nz->nxyk", box, w[2][o2])
+            for o1 in range(3 - o2):
+                by1 = np.einsum("nxyk,ny->nxk", by2, w[1][o1])
+                for o0 in range(3 - o2 - o1):
+                    out[o0, o1, o2] = np.einsum("nxk,nx->nk", by1, w[0][o0])
+        sums = np.stack([out[o] for o in orders], 2).reshape(n, -1)
+        cols = [batch.column(0), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * sums.shape[1], sums.ravel())]
+        if median:  # the first value, in order, at which the weights so far pass half of all
+            share = (w[0][0][:, :, None, None] * w[1][0][:, None, :, None] * w[2][0][:, None, None, :]).reshape(n, -1)
+            values = v[:, :, 0]
+            if here is not None:
+                values, share = np.where(here[:, :, 0], values, np.inf), np.where(here[:, :, 0], share, 0.0)
+            by = np.lexsort((share, values), axis=-1)
+            run = np.cumsum(np.take_along_axis(share, by, 1), 1)
+            past = run > share.sum(1, keepdims=True) / 2
+            m = np.take_along_axis(values, np.take_along_axis(by, past.argmax(1)[:, None], 1), 1)[:, 0]
+            cols.append(pa.array(m, mask=~past.any(1)))
+        return pa.RecordBatch.from_arrays(cols, names=["p", "s", "m"][: len(cols)])
+
+    return met.select("p", "x0", "x1", "x2", "v", "here", "n").mapInArrow(add, "p long, s array<double>" + (", m double" if median else ""))
 
 
 #: What the values and the first derivatives of a volume are called, by its number of components.

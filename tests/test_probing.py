@@ -93,3 +93,31 @@ def test_derivatives_of_invariants_are_those_of_differences():
     with np.errstate(all="ignore"):
         none = tensor_items({"tensor": np.zeros((2, 7)), "tensorgrad": np.zeros((2, 7, 3)), "hessian": np.zeros((2, 7, 3, 3))})
     assert all(np.isfinite(none[i]).all() for i in ITEMS)
+
+
+def test_probes_gather_once_a_cell(spark):
+    """However many points there are in a cell, the samples around it are gathered once, and points are not grouped."""
+    rng = np.random.default_rng(5)
+    cube = rng.normal(size=(6, 6, 6))
+    rows = [(x, y, z, float(cube[z, y, x])) for z in range(6) for y in range(6) for x in range(6) if (x, y, z) != (3, 2, 2)]
+    g = Grid(spark.createDataFrame(rows, "i0 long, i1 long, i2 long, v double"), (Axis(6),) * 3)
+    at = rng.uniform(-2, 7, size=(300, 3))  # beyond the border too, and one sample missing
+    points = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(at)], "p long, x0 double, x1 double, x2 double")
+    filled = cube.copy()
+    filled[2, 2, 3] = 0
+    for rule in ("bleed", "wrap", "mirror", "pad"):
+        got = {r.p: (r.value, r.median) for r in probing.probe_scalar(g, points, ["value", "median"], ("ctmr", "ctmrd", "ctmrdd"), rule).collect()}
+        f = parse("ctmr").f
+        for p, x in enumerate(at):
+            i = [np.arange(int(np.floor(c)) - 1, int(np.floor(c)) + 3) for c in x]
+            w = [f(c - n) for c, n in zip(x, i)]
+            j = [probing.border_index(n, 6, rule) for n in i]
+            held = [(cube[c, b, a], u * v * t) for a, u in zip(j[0], w[0]) for b, v in zip(j[1], w[1]) for c, t in zip(j[2], w[2]) if 0 <= min(a, b, c) and max(a, b, c) < 6 and (a, b, c) != (3, 2, 2)]
+            assert (p in got) == bool(held)
+            if held:
+                assert got[p][0] == pytest.approx(sum(v * t for v, t in held), abs=1e-9)
+                run, half = 0.0, sum(t for _, t in held) / 2
+                least = next((v for v, t in sorted(held) if (run := run + t) > half), np.nan)
+                assert np.array_equal(got[p][1], least, equal_nan=True)
+    plan = probing._sums(g, points, ("ctmr", "ctmrd", "ctmrdd"), "bleed", 1, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "p#" in plan and not any("Aggregate [p#" in line for line in plan.splitlines())
