@@ -21,8 +21,13 @@ LOG2 = 0.69314718
 
 
 @F.pandas_udf(DoubleType())
-def erf(v: pd.Series) -> pd.Series:
-    return v.map(math.erf).fillna(NAN)
+def _erf(v: pd.Series) -> pd.Series:
+    return v.map(math.erf)
+
+
+def erf(v: Column) -> Column:
+    """NaN stays NaN, which the function itself would return as NULL."""
+    return F.when(F.isnan(v), NAN).otherwise(_erf(v))
 
 
 def _sgn(v: Column) -> Column:
@@ -116,7 +121,7 @@ def _lerp(w: Column, a: Column, b: Column) -> Column:
 
 def _eased(x: Column, start: Column, width: Column) -> Column:
     """From ``start`` on at slope 1, towards ``start + width`` and never past it."""
-    return start + width * erf((x - start) * F.lit(math.sqrt(math.pi) / 2) / width)
+    return start + width * erf(divide((x - start) * F.lit(math.sqrt(math.pi) / 2), width))  # erf runs on every row, those without a width too
 
 
 TERNARY: dict[str, Callable[[Column, Column, Column], Column]] = {
@@ -125,7 +130,7 @@ TERNARY: dict[str, Callable[[Column, Column, Column], Column]] = {
     "min": lambda a, b, c: pick_min(a, pick_min(b, c)),
     "max": lambda a, b, c: pick_max(a, pick_max(b, c)),
     "min_sm": lambda x, w, m: F.when(w > 0, F.when(x < m - w, x).otherwise(_eased(x, m - w, w))).otherwise(F.least(x, m)),
-    "max_sm": lambda m, w, x: F.when(w > 0, F.when(x > m + w, x).otherwise(_eased(x, m + w, -w))).otherwise(F.greatest(x, m)),
+    "max_sm": lambda m, w, x: F.when(lt(m, m + w), F.when(lt(m + w, x), x).otherwise(_eased(x, m + w, -w))).otherwise(pick_max(x, m)),
     "lt_sm": lambda a, w, b: (1 + erf(divide(b - a, w))) / 2,
     "gt_sm": lambda a, w, b: (1 + erf(divide(a - b, w))) / 2,
     "clamp": lambda lo, v, hi: F.when(lt(v, lo), lo).when(lt(hi, v), hi).otherwise(v),

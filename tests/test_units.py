@@ -201,3 +201,15 @@ def test_other_file_formats(spark, tmp_path):
     assert (arrays.to_numpy(arrays.read(spark, names[2])) == cube[2]).all() and names[0].endswith("s03.nrrd")
     with pytest.raises(ValueError):
         arrays.write_text(g, f"{tmp_path}/b.txt")
+
+
+def test_smoothed_bounds_without_width(spark):
+    """A width of 0, or below, leaves the plain least or greatest value, beside rows that have a width."""
+    from loomgrid.operators import elementwise as E
+    from loomgrid.pipe_queries import numbers
+
+    nan, c = math.nan, math.sqrt(math.pi) / 2
+    x, w, m = [1.0, 9.0, 4.5, 9.0, nan, nan, 7.0, 1.0], [0.0, 0.0, 2.0, -1.0, 0.0, 2.0, 0.0, 2.0], [5.0, 5.0, 5.0, 5.0, 5.0, 5.0, nan, nan]
+    grids = [numbers(spark, v) for v in (x, w, m)]
+    high = [r.v for r in E.ternary("max_sm", *grids[::-1]).df.orderBy("i0").collect()]
+    assert high == pytest.approx([5, 9, 7 - 2 * math.erf(2.5 * c / 2), 9, 5, nan, nan, nan], nan_ok=True)
