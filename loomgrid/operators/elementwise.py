@@ -129,7 +129,7 @@ TERNARY: dict[str, Callable[[Column, Column, Column], Column]] = {
     "multiply": lambda a, b, c: a * b * c,
     "min": lambda a, b, c: pick_min(a, pick_min(b, c)),
     "max": lambda a, b, c: pick_max(a, pick_max(b, c)),
-    "min_sm": lambda x, w, m: F.when(w > 0, F.when(x < m - w, x).otherwise(_eased(x, m - w, w))).otherwise(F.least(x, m)),
+    "min_sm": lambda x, w, m: F.when(lt(m - w, m), F.when(lt(x, m - w), x).otherwise(_eased(x, m - w, w))).otherwise(pick_min(x, m)),
     "max_sm": lambda m, w, x: F.when(lt(m, m + w), F.when(lt(m + w, x), x).otherwise(_eased(x, m + w, -w))).otherwise(pick_max(x, m)),
     "lt_sm": lambda a, w, b: (1 + erf(divide(b - a, w))) / 2,
     "gt_sm": lambda a, w, b: (1 + erf(divide(a - b, w))) / 2,

@@ -211,5 +211,7 @@ def test_smoothed_bounds_without_width(spark):
     nan, c = math.nan, math.sqrt(math.pi) / 2
     x, w, m = [1.0, 9.0, 4.5, 9.0, nan, nan, 7.0, 1.0], [0.0, 0.0, 2.0, -1.0, 0.0, 2.0, 0.0, 2.0], [5.0, 5.0, 5.0, 5.0, 5.0, 5.0, nan, nan]
     grids = [numbers(spark, v) for v in (x, w, m)]
+    low = [r.v for r in E.ternary("min_sm", *grids).df.orderBy("i0").collect()]
+    assert low == pytest.approx([1, 5, 3 + 2 * math.erf(1.5 * c / 2), 5, 5, nan, nan, nan], nan_ok=True)
     high = [r.v for r in E.ternary("max_sm", *grids[::-1]).df.orderBy("i0").collect()]
     assert high == pytest.approx([5, 9, 7 - 2 * math.erf(2.5 * c / 2), 9, 5, nan, nan, nan], nan_ok=True)
