@@ -111,14 +111,34 @@ def distance(g: Grid, axis: int, threshold: float, above: bool = True) -> Grid:
     return Grid(rows.select(*g.names, F.coalesce(d, F.lit(float("inf"))).alias("v")), g.axes, "double", "distance")
 
 
+def _nearest(at: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """For each place of ``at`` (rising) the least of d + (place - at) ** 2: the lower envelope of the parabolas over the
+    places with a finite d, one walk forth and one back, so the cost is that of the line's length."""
+    held = np.flatnonzero(np.isfinite(d))
+    if not len(held):
+        return np.full(len(at), np.inf)
+    feet, tops = at[held].tolist(), d[held].tolist()
+    stack, since = [0], [-np.inf]  # parabolas of the envelope, and the place from which each is the lowest
+    for q in range(1, len(feet)):
+        while True:
+            p = stack[-1]
+            cut = (tops[q] - tops[p] + (feet[q] - feet[p]) * (feet[q] + feet[p])) / (2 * (feet[q] - feet[p]))
+            if cut > since[-1]:
+                break
+            stack.pop()
+            since.pop()
+        stack.append(q)
+        since.append(cut)
+    low = held[np.asarray(stack)[np.searchsorted(np.asarray(since), at, side="right") - 1]]
+    return (at - at[low]) ** 2 + d[low]
+
+
 def _least_along(name: str) -> Callable[[pa.Table], pa.Table]:
     """Of one line along ``name``: the least of squared distance so far (v) plus that along the line."""
 
     def least(table: pa.Table) -> pa.Table:
-        at, d = table.column(name).to_numpy(), table.column("v").to_numpy()
-        out = np.empty(len(at))
-        for i in range(0, len(at), 512):
-            out[i : i + 512] = ((at[i : i + 512, None] - at[None]) ** 2 + d[None]).min(1)
+        table = table.sort_by(name)
+        out = _nearest(table.column(name).to_numpy(), table.column("v").to_numpy())
         return table.set_column(table.column_names.index("v"), "v", pa.array(out))
 
     return least
@@ -128,7 +148,7 @@ def distance_transform(g: Grid, threshold: float, above: bool = True) -> Grid:
     """Euclidean distance over all axes to the nearest sample on the side asked for.
 
     The first axis is two running windows; each other axis takes, a line at a time, the least of squared distances so
-    far and along it.  Without such a sample every distance is infinite.
+    far and along it, at a cost of its length.  Without such a sample every distance is infinite.
     """
     squares = distance(g, 0, threshold, above)
     squares = squares.with_value(F.col("v") * F.col("v"))

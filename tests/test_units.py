@@ -215,3 +215,24 @@ def test_smoothed_bounds_without_width(spark):
     assert low == pytest.approx([1, 5, 3 + 2 * math.erf(1.5 * c / 2), 5, 5, nan, nan, nan], nan_ok=True)
     high = [r.v for r in E.ternary("max_sm", *grids[::-1]).df.orderBy("i0").collect()]
     assert high == pytest.approx([5, 9, 7 - 2 * math.erf(2.5 * c / 2), 9, 5, nan, nan, nan], nan_ok=True)
+
+
+def test_distance_along_long_lines():
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        at = np.sort(rng.choice(60, n, replace=False))
+        d = np.where(rng.random(n) < 0.4, np.inf, rng.integers(0, 30, n) ** 2.0)
+        order = rng.permutation(n)
+        line = stencil._least_along("i1")(pa.table({"i1": at[order], "v": d[order]})).sort_by("i1")
+        assert (line.column("v").to_numpy() == ((at[:, None] - at[None]) ** 2 + d[None]).min(1)).all()
+    n = 150_000  # the square of which would take minutes
+    start = time.process_time()
+    line = stencil._least_along("i1")(pa.table({"i1": np.arange(n), "v": np.where(np.arange(n) % 1000 == 0, 0.0, 400.0**2)}))
+    assert time.process_time() - start < 10
+    away = np.minimum(np.arange(n) % 1000, np.where(np.arange(n) < n - 1000, 1000 - np.arange(n) % 1000, n))
+    assert (line.column("v").to_numpy() == np.minimum(away, 400) ** 2.0).all()
