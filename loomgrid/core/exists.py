@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAN, INF = float("nan"), float("inf")
+#: From here on every double is whole.
+WHOLE = 2.0**52
 
 
 def nan() -> Column:
@@ -67,6 +69,13 @@ def whole(v: Column, how) -> Column:
     return F.when(exists(v), how(v).cast("double")).otherwise(v)
 
 
+def round_binary(v: Column, digits: int) -> Column:
+    """Rounding of SQL engines that scale, round at halves away from 0, and scale back: ties as the scaled double has them."""
+    scaled = v * 10.0**digits
+    made = F.when(F.abs(scaled) < WHOLE, F.round(scaled, 0)).otherwise(scaled) / 10.0**digits
+    return F.when(exists(scaled), F.when(made == 0, v * 0.0).otherwise(made)).otherwise(v)
+
+
 def pick_min(a: Column, b: Column) -> Column:
     """a < b ? a : b, so a NaN on either side gives b."""
     return F.when(lt(a, b), a).otherwise(b)

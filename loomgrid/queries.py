@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid import kernel_queries, pipe_queries, probe_queries, tensor_queries
+from loomgrid.core.exists import round_binary
 from loomgrid.core.grid import Axis, Grid, from_table
 from loomgrid.functions.kernels import parse
 from loomgrid.operators import elementwise as E
@@ -84,8 +85,7 @@ def _round_sql(sql: str) -> str:
 
 
 def _rounded(g: Grid) -> DataFrame:
-    v = F.col("v")
-    return g.df.select(*g.names, F.when(F.isnan(v) | (F.abs(v) == float("inf")), v).otherwise(F.round(v, 6)).alias("v"))
+    return g.df.select(*g.names, round_binary(F.col("v"), 6).alias("v"))
 
 
 def _unary(op: str) -> Query:
