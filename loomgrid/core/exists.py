@@ -65,8 +65,9 @@ def truthy(v: Column) -> Column:
 
 
 def whole(v: Column, how) -> Column:
-    """floor or ceil that leaves NaN and infinities alone."""
-    return F.when(exists(v), how(v).cast("double")).otherwise(v)
+    """floor or ceil that leaves NaN and infinities alone, keeps the sign of 0, and goes beyond what a long holds."""
+    made = how(v).cast("double")
+    return F.when(F.abs(v) < WHOLE, F.when(made == 0, v * 0.0).otherwise(made)).otherwise(v)
 
 
 def round_binary(v: Column, digits: int) -> Column:

@@ -9,7 +9,7 @@ from loomgrid import queries
 
 VALUE = """CASE WHEN event_id % 13 = 0 THEN value * 1e17 WHEN event_id % 17 = 0 THEN -value * 1e200 WHEN event_id % 19 = 0 THEN value * 1e-9 WHEN event_id % 23 = 0 THEN -0.0
 WHEN event_id % 29 = 0 THEN 1.7e308 WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 2 = 0 THEN round(value * 1.00001 + (event_id % 10) * 1e-7 + 5e-7, 7) ELSE value END"""
-NAMES = ("ternary_clamp", "ternary_add", "ternary_multiply", "unary_log", "unary_log2", "unary_reciprocal", "unary_sqrt", "ternary_lerp")
+NAMES = ("ternary_clamp", "unary_rounddown", "ternary_add", "ternary_multiply", "unary_log", "unary_log2", "unary_reciprocal", "unary_sqrt", "ternary_lerp", "unary_floor", "unary_ceil", "unary_roundup")
 
 
 @pytest.fixture(scope="module")
