@@ -11,13 +11,16 @@ at first.
    least c common values (``least_common``), so that, with the values of each sketch ordered by the number of
    components in their list, the rarest ``all - c + 1`` of both must have one in common.  Only these are listed,
    and of a text with fewer than c such values none.  Every pair of representatives of *different* components
-   that meet in a list is a candidate, in the first such list alone.
+   that meet in a list is a candidate, in the first such list alone.  Of whole sets the smaller one of a link has a
+   greater share in common than the larger one, so each text lists values in either role, and a smaller one meets
+   larger ones only.
 4. A list of more than ``CROWD`` components is a passage that many unlike texts share.  A text that still lists
    such a value after step 3 consists of it for the greater part.  Where both sets are whole, every pair that meets
    there is formed at once.  The other texts, and those that are large enough to be linked with one of them, go
    through step 3 once more among themselves with sketches ``FINER`` times as large, where c is a greater share,
    until the sketches are the whole sets and c is exact.  What then still meets in a crowded list has all but a
-   fifth of its shingles there.
+   fifth of its shingles there, and as the smaller set all but a ninth.  Crowded values are few (each is in over
+   ``CROWD`` sketches), so they are sent to where the sketches are; a join looks up the others only.
 5. Candidates must agree in size and in two digests that are compared where lists meet: the parity digest of the
    whole set, in which two sets differ in at most as many bits as the sets do in members (so no link is lost),
    and a bit map of the sketch.  They are then filtered by the Jaccard of the union sketch, then verified on the
@@ -66,12 +69,17 @@ def _sampled(size: str, percent: int) -> str:
     return f"greatest(1L, CAST(floor({q!r}D * {size} - {DEVIATIONS * (q * (1 - q)) ** 0.5!r}D * sqrt({size})) AS long))"
 
 
-def least_common(n: str, held: str, percent: int, k: int) -> str:
-    """SQL: the least number of common values in the sketches of a link, for a set of ``n`` of which ``held`` are retained.
+def least_common(n: str, held: str, percent: int, k: int, smaller: bool) -> str:
+    """SQL: the least number of common values in the sketches of a link, for its smaller or larger set, of ``n`` of which ``held`` are retained.
 
-    A set so small that each set linked with it is retained whole as well has it exactly.
+    Where both sets are whole it is exact: those common are ``percent`` of the larger set at least, and of the smaller
+    one, since the union is no less than the larger, ``2 percent / (100 + percent)``.
     """
-    return f"CASE WHEN 100 * {n} <= {percent * k} THEN ({percent} * {n} + 99) DIV 100 ELSE {_sampled(held, percent)} END"
+    if smaller:
+        exact, whole = f"({2 * percent} * {n} + {99 + percent}) DIV {100 + percent}", f"100 * {n} <= {percent * k}"
+    else:
+        exact, whole = f"({percent} * {n} + 99) DIV 100", f"{n} <= {k}"
+    return f"CASE WHEN {whole} THEN {exact} ELSE {_sampled(held, percent)} END"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -170,6 +178,28 @@ def _marked(df: DataFrame) -> DataFrame:
     return df.select(*(c for c in df.columns if c != "digest"), *(F.get("digest", F.lit(i)).alias(d) for i, d in enumerate(MARKS)))
 
 
+def crowded(held: DataFrame, values: np.ndarray) -> DataFrame:
+    """``held`` and, as ``crowd``, which of ``values`` each sketch has, in their order."""
+    if not len(values):
+        return held.withColumn("crowd", F.array().cast("array<long>"))
+    place = np.argsort(values)
+    ascending = values[place]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = batch.column(batch.schema.get_field_index("sketch"))
+            flat = sketch.flatten().to_numpy(zero_copy_only=False)
+            text = np.repeat(np.arange(len(sketch)), sketch.value_lengths().to_numpy(zero_copy_only=False))
+            at = np.minimum(np.searchsorted(ascending, flat), len(ascending) - 1)
+            hit = ascending[at] == flat
+            text, at = text[hit], place[at[hit]]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(sketch)))]).astype(np.int32)
+            met = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[at[np.lexsort((at, text))]]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, met], names=[*batch.schema.names, "crowd"])
+
+    return held.mapInArrow(run, T.StructType([*held.schema.fields, T.StructField("crowd", T.ArrayType(T.LongType()))]))
+
+
 class Search:
     """Candidates and links among the rows of one table."""
 
@@ -218,29 +248,41 @@ class Search:
 
         ``held`` has (rep, f1, n, component, sketch, digest); both results read a written table, given third.
         """
-        values = held.select("rep", "f1", "n", "component", F.size("sketch").cast("long").alias("held"), F.explode("sketch").alias("v"))
-        # written, so that the join below is of two plain sides and a value that very many texts have can be split
+        values = held.select("rep", "f1", "component", F.explode("sketch").alias("v"))
+        # written, so that the join below is of two plain sides
         lists = cut(values.select("v", "component").distinct().groupBy("v").agg(F.count("*").alias("in_list")).filter("in_list > 1"))
-        ranked = values.join(lists, "v").selectExpr(
-            "*", "row_number() OVER (PARTITION BY rep, f1 ORDER BY in_list, v) AS place", "count(*) OVER (PARTITION BY rep, f1) AS n_shared"
-        )
+        # a crowded value is one of few, so it is found where the sketch is; only the others are looked up by a join
+        rare = values.join(lists.filter(f"in_list <= {CROWD}"), "v").groupBy("rep", "f1").agg(F.sort_array(F.collect_list(F.struct("in_list", "v"))).getField("v").alias("rare"))
+        crowd = lists.filter(f"in_list > {CROWD}").toArrow()
+        found = crowded(held, crowd.column("v").to_numpy()[np.lexsort((crowd.column("v").to_numpy(), crowd.column("in_list").to_numpy()))])
         # all - c + 1 of the rarest, of which those that are in no other component come first and needn't be listed
-        listed = cut(
-            ranked.filter(f"place <= n_shared - ({least_common('n', 'held', self.percent, retained)}) + 1")
-            .select("v", "place", "rep", "f1", "n", "component", (F.col("in_list") > CROWD).alias("crowded"))
+        first = [f"greatest(0L, n_shared - ({least_common('n', 'held', self.percent, retained, smaller)}) + 1)" for smaller in (True, False)]
+        texts = cut(
+            found.join(rare, ["rep", "f1"], "left")
+            .withColumns({"rare": F.coalesce("rare", F.array().cast("array<long>")), "held": F.size("sketch").cast("long")})
+            .withColumns({"order": F.concat("rare", "crowd"), "n_rare": F.size("rare").cast("long")})
+            .withColumn("n_shared", F.size("order").cast("long"))
+            .selectExpr("rep", "f1", "n", "component", "digest", "order", "n_rare", f"least(n_shared, {first[0]}) AS smaller", f"least(n_shared, {first[1]}) AS larger")
+            .filter("greatest(smaller, larger) > 0")
+            .withColumn("order", F.expr("slice(order, 1, CAST(greatest(smaller, larger) AS int))"))
         )
         discard(lists)
-        order = listed.groupBy("rep", "f1").agg(F.sort_array(F.collect_list(F.struct("place", "v"))).getField("v").alias("order"))
-        known = order.join(_marked(held.select("rep", "f1", "digest")), ["rep", "f1"])
-        # both whole: such a pair lists the first value they share, however crowded, so it needs no finer sketch
-        final = f"NOT crowded OR n <= {retained}"
-        side = listed.filter(final).join(known, ["rep", "f1"]).withColumn("before", F.slice("order", F.lit(1), F.col("place") - 1)).drop("f1", "crowded", "order", "place")
+
+        def side(role: str, name: str) -> DataFrame:
+            # both whole: such a pair lists the first value they share, however crowded, so it needs no finer sketch
+            ends = f"CAST(CASE WHEN n <= {retained} THEN {role} ELSE least({role}, n_rare) END AS int)"
+            listed = _marked(texts).select("*", F.posexplode(F.expr(f"slice(order, 1, {ends})")).alias("nth", "v"))
+            return _named(listed.withColumn("before", F.expr("slice(order, 1, nth)")).drop("f1", "order", "nth", "n_rare", "smaller", "larger"), name)
+
         # a pair is made where the rarest value that both list is, and nowhere else
-        met = _named(side, "a").join(_named(side, "b"), "v").filter(f"a < b AND a_component <> b_component AND {_near(self.percent)} AND NOT arrays_overlap(a_before, b_before)")
-        # what is left has a set that is not whole on one side; the other side may be whole, but not much smaller
-        least = listed.filter(f"crowded AND n > {retained}").agg(F.min("n")).first()[0]
-        finer = listed.filter("false" if least is None else f"crowded AND 100 * n >= {self.percent * least}").select(F.col("rep").alias("id")).distinct()
-        return met.select("a", "b").distinct(), finer, listed
+        met = side("smaller", "a").join(side("larger", "b"), "v").filter(
+            f"(a_n < b_n OR a_n = b_n AND a < b) AND a_component <> b_component AND {_near(self.percent)} AND NOT arrays_overlap(a_before, b_before)"
+        )
+        # what is left has a set that is not whole on one side; the other side may be whole, but then it is the smaller, and not much so
+        least = texts.filter(f"n > {retained} AND greatest(smaller, larger) > n_rare").agg(F.min("n")).first()[0]
+        again = "false" if least is None else f"CASE WHEN n > {retained} THEN greatest(smaller, larger) > n_rare ELSE smaller > n_rare AND 100 * n >= {self.percent * least} END"
+        finer = texts.filter(again).select(F.col("rep").alias("id")).distinct()
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), finer, texts
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
@@ -294,6 +336,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         retained *= FINER
         sets = sketches(search.rows(finer), k, retained).withColumnRenamed("id", "rep")
+        if search.repeats:  # texts of one id that differ, with the same set
+            sets = sets.dropDuplicates(["rep", "f1"])
         held = cut(placed(sets, joined))
         discard(finer, joined)
 

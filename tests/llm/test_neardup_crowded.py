@@ -1,6 +1,7 @@
 """Near copies whose common part is mostly a passage that many unlike texts share, and ids with several texts."""
 
 import random
+import re
 
 import pytest
 
@@ -84,3 +85,54 @@ def test_whole_sets_meet_once(spark, monkeypatch, low, high, passes):
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == want
     assert seen == passes
+
+
+def rows_met_by_value(spark, run):
+    """Rows out of all joins on one value each, while ``run`` goes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, rows = store.executionsList().size(), 0
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done = store.executionsList()
+    for i in range(before, done.size()):
+        nodes, values = store.planGraph(done.apply(i).executionId()).allNodes(), store.executionMetrics(done.apply(i).executionId())
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if "Join" in node.name() and re.search(r"Join \[v#\d+L\], \[v#\d+L\]", node.desc()):
+                for metric in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.get(metric.accumulatorId()).isDefined():
+                        rows += int(values.get(metric.accumulatorId()).get().replace(",", ""))
+    return rows
+
+
+def test_crowded_values_are_not_looked_up_by_a_join(spark, monkeypatch):
+    """A finer pass over texts of one passage has 16 times the values, nearly all crowded, and no row for each."""
+    monkeypatch.setattr(neardup, "CROWD", 8)
+    monkeypatch.setattr(neardup, "LEADERS", 1)
+    monkeypatch.setattr(neardup, "LED", 1)
+    rng = random.Random(8)
+    rows = around_one_passage(rng, [rng.randrange(420, 500) for _ in range(60)], lambda size: size // 40 + rng.randrange(size // 40))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_met_by_value(spark, lambda: neardup.near_duplicates(docs).collect())
+    assert 0 < got < 32 * len(rows)
+
+
+@pytest.mark.parametrize("crowd", [4, 256])
+def test_links_at_the_threshold_between_unlike_sizes(spark, monkeypatch, crowd):
+    """The larger set has all of the smaller one, which is four fifths of it, or both have eight ninths in common."""
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    monkeypatch.setattr(neardup, "LEADERS", 1)
+    monkeypatch.setattr(neardup, "LED", 1)
+    rows, n = [], 0
+    for size in (5, 10, 15, 20, 25, 30, 40, 50, 100, 400, 500, 600):
+        for i in range(6):
+            passage = [f"p{k}" for k in range(size * 6 // 10)]
+            own = [f"s{size}_{i}_{k}" for k in range(size + 3 - len(passage))]
+            text = passage + own
+            rows += [(n, " ".join(text)), (n + 1, " ".join(text[: len(text) - size // 5 + (i % 2)]))]
+            nine = text[: len(text) - size // 9]
+            rows += [(n + 2, " ".join(nine + [f"u{n}_{k}" for k in range(size // 9)]))]
+            n += 3
+    want, links = brute(rows)
+    assert len(links) > 100 and len(set(want.values())) > 60
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
