@@ -76,10 +76,11 @@ def auto_crop(g: Grid, measure: str, share: float, offset: int = 0) -> Grid:
     return crop(g, low, high)
 
 
-def slice_select(g: Grid, axis: int, line: Grid, threshold: float, above: bool = True) -> Grid:
-    """Slices whose value in ``line`` is at least (or below) the threshold, numbered anew in order."""
+def slice_select(g: Grid, axis: int, line: Grid, threshold: float, above: bool = True, strict: bool = False) -> Grid:
+    """Slices whose value in ``line`` is at least (or below) the threshold, numbered anew in order; ``strict`` leaves those at the threshold to the side below."""
     g.check_axis(axis)
-    want = line.df.filter(F.col("v") >= threshold) if above else line.df.filter(F.col("v") < threshold)
+    over = F.col("v") > threshold if strict else F.col("v") >= threshold
+    want = line.df.filter(over if above else ~over)
     ordered = want.select(F.col("i0").alias("__old"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("i0")) - 1).alias("__new"))
     n = want.count()
     if n == 0:

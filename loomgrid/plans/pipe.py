@@ -146,7 +146,7 @@ def _splice(c: Call) -> Grid:
 
 @command("sselect")
 def _sselect(c: Call) -> Grid:
-    return shape.slice_select(c.g, c.axis, c.grid(c.one("s")), float(c.one("th")), c.one("o", "above") != "below")
+    return shape.slice_select(c.g, c.axis, c.grid(c.one("s")), float(c.one("th")), c.one("o", "above") != "below", c.has("strict"))
 
 
 @command("flip")
